@@ -5,6 +5,6 @@ reports come out as DataFrames. See README.md for the layout.
 """
 
 from .options import ScanOptions
-from .plans.scan import Scan, scan_files
+from .plans.scan import scan_files
 
-__all__ = ["Scan", "ScanOptions", "scan_files"]
+__all__ = ["ScanOptions", "scan_files"]

@@ -51,9 +51,13 @@ def normal_breaks(text: Column) -> Column:
     return F.regexp_replace(text, LINE_BREAK, "\n")
 
 
-def split_lines(text: Column) -> Column:
-    """Lines of a text with normal breaks; no trailing empty line, none for an empty text."""
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(
+def split_lines(text: Column, original: Column | None = None) -> Column:
+    """Lines of a text with normal breaks; no trailing empty line, none for an empty text.
+
+    ``original`` is a cheap column that is empty exactly when ``text`` is; give it when
+    ``text`` is an expensive expression, which then appears (and runs) once only.
+    """
+    return F.when(F.length(text if original is None else original) == 0, F.array().cast("array<string>")).otherwise(
         F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)
     )
 
@@ -162,3 +166,12 @@ def present_names(column: Column, pairs) -> Column:
     lowered = F.lower(column)
     found = F.array(*[F.when(lowered.contains(marker.lower()), F.lit(name)) for name, marker in pairs])
     return F.array_compact(found)
+
+
+def computed(array: str) -> Column:
+    """An array column as an expression, for use in a generator.
+
+    For a generator over a plain column the optimizer adds a test that the array is not empty
+    and pushes it down, where it computes the array a second time.
+    """
+    return F.slice(array, 1, 2**31 - 1)

@@ -34,7 +34,7 @@ def functions_without_control(files: DataFrame, snippet_lines: int = fv.SNIPPET_
     sensitive = tx.matches(F.col("name"), fv.AUTHZ_FUNCTION_NAME)
     # evidence is cut where the arrays are at hand; only narrow columns go into the window
     narrow = (
-        lines.select("repo", "path", "code_surface", "raw_lines", F.posexplode("raw_lines").alias("_pos", "raw"))
+        lines.select("repo", "path", "code_surface", "raw_lines", F.posexplode(tx.computed("raw_lines")).alias("_pos", "raw"))
         .select(
             "repo", "path", "code_surface", line_no.alias("line_no"),
             tx.extract(raw, _DECLARATION, 2).alias("name"),

@@ -5,31 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..functions import text as tx
+from ..options import ScanOptions
+from . import rules as rule_ops
+from .rules import Rule
 
-
-def with_line_arrays(files: DataFrame, uncommented: bool = True, code: bool = True) -> DataFrame:
-    """Adds raw_lines, and the uncommented_lines and code_lines asked for; drops the text.
-
-    The three arrays run in parallel: masking keeps every line break. A file is tokenised
-    once for both masked forms.
-    """
-    normal = files.withColumn("text", tx.normal_breaks(F.col("text")))
-    keep = [c for c in files.columns if c != "text"]
-    if not (uncommented or code):
-        return normal.select(*keep, tx.split_lines(F.col("text")).alias("raw_lines"))
-    tokens = normal.withColumn("tokens", tx.tokens(F.col("text"), F.col("language")))
-    language = F.col("language")
-    columns = [tx.split_lines(F.col("text")).alias("raw_lines")]
-    if uncommented:
-        # only the Java rules read uncommented text
-        columns.append(
-            F.when(language == "java", tx.split_lines(tx.without_comments(F.col("tokens"), language)))
-            .otherwise(F.array().cast("array<string>")).alias("uncommented_lines")
-        )
-    if code:
-        columns.append(tx.split_lines(tx.code_only(F.col("tokens"), language)).alias("code_lines"))
-    return tokens.select(*keep, *columns)
+KEEP = ["repo", "path", "language", "code_surface"]
 
 
 def source_lines(files: DataFrame) -> DataFrame:
@@ -41,8 +23,8 @@ def source_lines(files: DataFrame) -> DataFrame:
     arrays = tokens.select(
         "repo", "path", "language",
         tx.split_lines(F.col("text")).alias("raw"),
-        tx.split_lines(tx.without_comments(F.col("tokens"), language)).alias("uncommented"),
-        tx.split_lines(tx.code_only(F.col("tokens"), language)).alias("code"),
+        tx.split_lines(tx.without_comments(F.col("tokens"), language), F.col("text")).alias("uncommented"),
+        tx.split_lines(tx.code_only(F.col("tokens"), language), F.col("text")).alias("code"),
     )
     return _explode(arrays, ["repo", "path", "language"], ["raw", "uncommented", "code"])
 
@@ -51,7 +33,7 @@ def raw_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per line of a text column: the other columns, line_no, raw."""
     keep = [c for c in df.columns if c != text]
     lines = df.select(*keep, tx.split_lines(tx.normal_breaks(F.col(text))).alias("_lines"))
-    exploded = lines.select(*keep, F.posexplode("_lines").alias("_pos", "raw"))
+    exploded = lines.select(*keep, F.posexplode(tx.computed("_lines")).alias("_pos", "raw"))
     return exploded.select(*keep, (F.col("_pos") + 1).alias("line_no"), "raw")
 
 
@@ -62,33 +44,58 @@ def _explode(df: DataFrame, keep: list[str], arrays: list[str]) -> DataFrame:
     )
 
 
-def candidate_lines(
-    files: DataFrame, keep: list[str], gate: Column, redact: bool, snippets: bool, snippet_lines: int,
-    contexts: bool = True,
-) -> DataFrame:
-    """Lines that pass ``gate``, with the contexts rules and evidence need.
+def candidate_lines(files: DataFrame, rules: list[Rule], options: ScanOptions) -> DataFrame:
+    """Lines some rule of the list wants to look at, with contexts, evidence and rule bits.
 
-    ``gate`` is a condition over raw, uncommented, code and the ``keep`` columns. It is tested
-    before any context is cut out, so contexts are built for surviving lines only, and the
-    line arrays never leave the row of their file.
+    Work goes from cheap to dear. Files without a single rule word end at a substring search;
+    only files with a rule that reads masked text are tokenised; contexts and evidence are
+    cut for lines that passed a gate. Lines are tested inside the row of their file, so what
+    is exploded are the surviving lines, never a line together with its file.
     """
-    line_no = F.col("_pos") + 1
-    rows = files.select(
-        *keep, "raw_lines", "uncommented_lines", "code_lines",
-        F.posexplode(F.arrays_zip("raw_lines", "uncommented_lines", "code_lines")).alias("_pos", "_line"),
-    ).select(
-        *keep, "raw_lines", "uncommented_lines", "code_lines", "_pos",
-        F.col("_line.raw_lines").alias("raw"),
-        F.coalesce(F.col("_line.uncommented_lines"), F.lit("")).alias("uncommented"),
-        F.coalesce(F.col("_line.code_lines"), F.lit("")).alias("code"),
-    ).filter(gate)
-    extra = []
-    if contexts:
-        extra = [
-            tx.context(F.col("code_lines"), line_no).alias("code_context"),
-            tx.context(F.col("raw_lines"), line_no).alias("raw_context"),
-            tx.upload_context(F.col("uncommented_lines"), line_no).alias("upload_context"),
+    path, text, language = F.col("path"), F.col("text"), F.col("language")
+    no_lines = F.array().cast("array<string>")
+    worded = files.select(
+        "repo", "path", "language", "code_surface", tx.normal_breaks(text).alias("text"),
+    ).withColumn("lowered", F.lower("text"))
+    # A file without words vanishes with its empty list. A filter on the mask would be pushed
+    # below the projection, and the search would run once more for the files that stay.
+    mask = F.filter(F.array(rule_ops.file_mask(rules, "lowered")), lambda bits: bits != 0)
+    tokens = worded.select("*", F.explode(mask).alias("file_mask")).withColumn(
+        "tokens", F.when(rule_ops.uses_code(rules, "file_mask"), tx.tokens(text, language)))
+    masked = F.col("tokens").isNotNull()
+    java = masked & (language == "java")  # no other rules read uncommented text
+    arrays = tokens.select(
+        "repo", "path", "language", "code_surface", "file_mask",
+        paths.surface_of(path).alias("path_surface"),
+        tx.split_lines(text).alias("raw_lines"),
+        tx.split_lines(F.col("lowered"), text).alias("lowered_lines"),
+        F.when(java, tx.split_lines(tx.without_comments(F.col("tokens"), language), text)).otherwise(no_lines)
+        .alias("uncommented_lines"),
+        F.when(masked, tx.split_lines(tx.code_only(F.col("tokens"), language), text)).otherwise(no_lines)
+        .alias("code_lines"),
+    )
+    entries = "arrays_zip(raw_lines, lowered_lines, uncommented_lines, code_lines)"
+    masks = rule_ops.line_masks(rules, entries, "file_mask")
+    hits = F.filter(F.transform(masks, lambda mask, i: F.struct(mask.alias("mask"), (i + 1).alias("line_no"))),
+                    lambda hit: hit["mask"] != 0)
+
+    def with_contexts(hit: Column) -> Column:
+        number = hit["line_no"]
+        columns = [
+            hit["mask"].alias("mask"), number.alias("line_no"),
+            F.get("raw_lines", number - 1).alias("raw"),
+            F.get("uncommented_lines", number - 1).alias("uncommented"),
+            F.get("code_lines", number - 1).alias("code"),
+            tx.snippet(F.col("raw_lines"), number, options.max_snippet_lines, options.snippets, options.redact)
+            .alias("evidence"),
         ]
-    evidence = tx.snippet(F.col("raw_lines"), line_no, snippet_lines, snippets, redact)
-    return rows.select(*keep, line_no.alias("line_no"), "raw", "uncommented", "code", *extra,
-                       evidence.alias("evidence"))
+        if any("contexts" in rule.uses for rule in rules):
+            columns += [
+                tx.context(F.col("code_lines"), number).alias("code_context"),
+                tx.context(F.col("raw_lines"), number).alias("raw_context"),
+                tx.upload_context(F.col("uncommented_lines"), number).alias("upload_context"),
+            ]
+        return F.struct(*columns)
+
+    keep = [*KEEP, "path_surface"]
+    return arrays.select(*keep, F.inline(F.transform(hits, with_contexts)))

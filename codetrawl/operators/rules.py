@@ -1,9 +1,10 @@
 """Rules as data, compiled to literal predicates over lines.
 
-A ``Rule`` says which languages it is for, which cheap conditions a line must meet before
-its contexts are worth building (``gate``), and which catalogue entry (variant) a line
-matches. Texts, grades and CWE ids of the variants are rows of a small catalogue that is
-joined to the matches; its size is fixed by the library and checked before it is broadcast.
+A ``Rule`` says which languages it is for, which words a file and a line must hold for its
+regular expressions to have a chance (``words``), which condition a line must meet before its
+contexts are worth building (``gate``), and which catalogue entry (variant) it then matches.
+Texts, grades and CWE ids of the variants are rows of a small catalogue that is joined to the
+matches; its size is fixed by the library and checked before it is broadcast.
 """
 
 from __future__ import annotations
@@ -17,44 +18,62 @@ from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from ..functions import ids, paths
-from ..functions import text as tx
+from ..functions.sqltext import Case, Sql, call, lit, present_names, when
 from ..schema import FINDING_DEFAULTS, FINDINGS
 
 GENERIC = ("python", "go")
 JAVA = ("java",)
 SCRIPT = ("javascript", "typescript")
-
+GROUPS = (GENERIC, JAVA, SCRIPT)
+# rules of one group are bits of a BIGINT
+GROUP_BITS = 60
 BROADCAST_CATALOGUE_ROWS = 2_000
 
 
-def _raw(regex: str) -> Column:
-    return tx.matches(F.col("raw"), regex)
+class Line:
+    """SQL text of the fields a rule may look at. Contexts exist once a line passed its gate."""
+
+    def __init__(self, prefix: str = "", suffix: str = ""):
+        self._prefix, self._suffix = prefix, suffix
+        self.language = Sql("language")
+
+    def __getattr__(self, name: str) -> Sql:
+        return Sql(self._prefix + name + self._suffix)
 
+    def raw_has(self, regex: str) -> Sql:
+        return self.raw.matches(regex)
 
-def _code(regex: str) -> Column:
-    return tx.matches(F.col("code"), regex)
+    def code_has(self, regex: str) -> Sql:
+        return self.code.matches(regex)
 
+    def uncommented_has(self, regex: str) -> Sql:
+        return self.uncommented.matches(regex)
 
-def _uncommented(regex: str) -> Column:
-    return tx.matches(F.col("uncommented"), regex)
+
+Test = Callable[[Line], Sql]
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
     languages: tuple[str, ...]
-    # condition over raw / uncommented / code
-    gate: Callable[[], Column]
+    # one word of every group occurs, in lower case, in any line the gate accepts
+    words: tuple[tuple[str, ...], ...]
+    gate: Test
     # catalogue key of the match, null when the line does not match after all
-    variant: Callable[[], Column]
+    variant: Test
     variants: tuple[str, ...]
-    api: Callable[[], Column] | None = None
-    source: Callable[[], Column] | None = None
-    controls: Callable[[], Column] | None = None
+    api: Test | None = None
+    source: Test | None = None
+    controls: Test | None = None
     uses: frozenset[str] = field(default_factory=frozenset)
 
-    def applies(self) -> Column:
-        return F.col("language").isin(*self.languages)
+    def worded(self, lowered: Sql) -> Sql:
+        condition = None
+        for group in self.words:
+            test = lowered.contains_any(group)
+            condition = test if condition is None else condition & test
+        return lit(True) if condition is None else condition
 
 
 @dataclass(frozen=True)
@@ -74,35 +93,88 @@ class CustomRule:
         return f"custom:{self.rule_id}"
 
 
+# --- words a match needs, in lower case ---------------------------------------------------
+
+_SENSITIVE = ("token", "authorization", "bearer", "jwt", "key", "password", "secret", "cookie", "session")
+_VERBS = ("select", "insert", "update", "delete")
+_REQUEST = ("req.", "request.", "query", "body", "params", "user", "payload")
+WORDS = {
+    "r_secret": (("key", "secret", "password", "token"),),
+    "r_tls": (("verif", "trustall"),),
+    "r_weak": (("md5", "sha1", "des", "rc4", "ecb", "random", "math/rand"),),
+    "r_exec": (("exec", "eval", "compile", "function", "vm.run", "processbuilder", "os.system", "subprocess",
+                "child_process"),),
+    "r_deser": (("yaml.load", "pickle.load", "marshal.load", "objectinputstream", "gob.newdecoder", "json.parse"),),
+    "r_sql": (_VERBS, ("+", "%s", "f'", 'f"', "literal", "sprintf")),
+    "r_ssrf": (("http.get", "requests.", "httpx.", "axios.", "fetch", "client.do", "http.newrequest"),),
+    "r_render": (("innerhtml", "document.write", "mark_safe", "template.html", "text/template", "res.redirect",
+                  "sendredirect"),),
+    "r_path": (("open", "path.join", "send_file", "send_from_directory", "readfile", "writefile", "os.remove",
+                "zip.extract", "tarfile"),),
+    "r_authz": (("csrf_exempt", "permitall", "cors", "access-control-allow-origin", "trust proxy", "allowall"),),
+    "r_upload": (("filename", "multer", "fileupload", "multipartfile", "uploadfile", "originalname"),),
+    "r_log": (("log", "zap", "fmt"), _SENSITIVE),
+    "r_debug": (("debug",),),
+    "r_jwt": (("jwt.decode", "jsonwebtoken.decode"),),
+    "r_random": (("random", "math/rand"),),
+    "r_xml": (("documentbuilderfactory", "saxparser", "xml.etree", "xmldecoder"),),
+    "r_timeout": (("requests.", "httpx.", "axios.", "http.get", "client.do"),),
+    "j_secret_assign": (("key", "secret", "password", "token"), ('"',)),
+    "j_secret_known": (("basicawscredentials", "aws_", "akia", "asia", "private key"),),
+    "j_log": (("log", "system.", "printstacktrace"), (*_SENSITIVE, "passwd", "credential", "sid")),
+    "j_exec": (("getruntime", "processbuilder", "eval"),),
+    "j_sql": ((".execute", ".query", ".update", "createnativequery"), _VERBS, ("+", "string.format", "formatted")),
+    "j_upload": (("transferto", "files.copy", "files.write", "fileoutputstream", "putobject", "upload", "store",
+                  "getoriginalfilename"),),
+    "j_path": (("file", "inputstream"), ("request", "pathvariable", "getoriginalfilename")),
+    "j_deser": (("readobject",),),
+    "j_tls": (("noophostnameverifier", "trustall", "insecuretrustmanagerfactory"),),
+    "j_random": (("random",),),
+    "js_secret": (("akia", "asia", "secret", "key", "password", "token", "credential", "auth"),),
+    "js_log": (("console.", "logger.", "log."), _SENSITIVE),
+    "js_exec": (("eval", "function", "child_process", "vm."),),
+    "js_formdata": (("formdata",), ("append",)),
+    "js_upload": (("writefile", "createwritestream", "stream.pipeline", "putobject", ".upload", ".put"),),
+    "js_sql": ((".query", ".raw", ".execute"), _VERBS, ("+", "${", "string.raw")),
+    "js_ssrf": (("fetch", "axios", "got", "request"), _REQUEST),
+    "js_render": (("innerhtml", "outerhtml", "v-html", "document.write"),),
+}
+
 # --- generic rules -------------------------------------------------------------------
 
 
-def _generic_gate(key: str, regex: str) -> Column:
-    hit = _raw(regex)
-    if key == "r_exec":
-        call = (F.col("language") != "go") | _code(fv.GO_EXEC_CALL)
-        safe = F.col("raw").contains(fv.EXEC_SAFE_TEXT) | _raw(fv.EXEC_SAFE_BUILDER)
-        return hit & call & ~safe
-    if key == "r_log":
-        return hit & _code(fv.LOG_CALL) & _code(fv.LOG_SENSITIVE)
-    if key == "r_timeout":
-        return hit & ~_raw(fv.TIMEOUT_PRESENT)
-    return hit
+def _generic_gate(key: str, regex: str) -> Test:
+    def gate(line: Line) -> Sql:
+        hit = line.raw_has(regex)
+        if key == "r_exec":
+            call = ~line.language.equals("go") | line.code_has(fv.GO_EXEC_CALL)
+            safe = line.raw.contains(fv.EXEC_SAFE_TEXT) | line.raw_has(fv.EXEC_SAFE_BUILDER)
+            return hit & call & ~safe
+        if key == "r_log":
+            return hit & line.code_has(fv.LOG_CALL) & line.code_has(fv.LOG_SENSITIVE)
+        if key == "r_timeout":
+            return hit & ~line.raw_has(fv.TIMEOUT_PRESENT)
+        return hit
+
+    return gate
 
 
 def _generic_rule(key: str, regex: str) -> Rule:
+    gate = _generic_gate(key, regex)
     if key == "r_random":
         return Rule(
-            key, GENERIC, lambda: _generic_gate(key, regex),
-            lambda: F.when(_raw(fv.RANDOM_CONTEXT), F.lit("r_random")).otherwise(F.lit("r_random_plain")),
+            key, GENERIC, WORDS[key], gate,
+            lambda line: when(line.raw_has(fv.RANDOM_CONTEXT), lit("r_random"))
+            .otherwise(lit("r_random_plain")),
             ("r_random", "r_random_plain"),
         )
     uses = frozenset({"code"}) if key in ("r_exec", "r_log") else frozenset()
-    return Rule(key, GENERIC, lambda: _generic_gate(key, regex), lambda: F.lit(key), (key,), uses=uses)
+    return Rule(key, GENERIC, WORDS[key], gate, lambda line: lit(key), (key,), uses=uses)
 
 
 def _custom_rule(rule: CustomRule) -> Rule:
-    return Rule(rule.rule_id, GENERIC, lambda: _raw(rule.pattern), lambda: F.lit(rule.key), (rule.key,))
+    return Rule(rule.rule_id, GENERIC, (), lambda line: line.raw_has(rule.pattern), lambda line: lit(rule.key),
+                (rule.key,))
 
 
 # --- Java rules ------------------------------------------------------------------------
@@ -115,221 +187,221 @@ _LITERALS = "'[^']*(?:'|$)|\"([^\"]*)\"|\"[^\"]*$"
 _SECRET_ASSIGNED = fv.JAVA_SECRET_NAME + f"{_OPEN}[^{_OPEN}{_CLOSE}]{{8,}}{_CLOSE}\\s*(?:$|[;,)])"
 
 
-def _java_secret_assigned() -> Column:
-    neutral = F.regexp_replace(F.col("uncommented"), r"\\.", "xx")
-    marked = F.regexp_replace(neutral, _LITERALS, f"{_OPEN}$1{_CLOSE}")
-    return _uncommented(fv.JAVA_SECRET_NAME + '"') & tx.matches(marked, _SECRET_ASSIGNED)
+def _java_secret_assigned(line: Line) -> Sql:
+    neutral = line.uncommented.replaced(r"\\.", "xx")
+    marked = neutral.replaced(_LITERALS, f"{_OPEN}$1{_CLOSE}")
+    return line.uncommented_has(fv.JAVA_SECRET_NAME + '"') & marked.matches(_SECRET_ASSIGNED)
 
 
-def _java_secret_literal() -> Column:
-    return (_uncommented(fv.JAVA_AWS_ENVIRONMENT) | _uncommented(fv.AWS_KEY_ID)
-            | _uncommented(fv.JAVA_PEM_HEADER))
+def _java_secret_literal(line: Line) -> Sql:
+    return (line.uncommented_has(fv.JAVA_AWS_ENVIRONMENT) | line.uncommented_has(fv.AWS_KEY_ID)
+            | line.uncommented_has(fv.JAVA_PEM_HEADER))
 
 
-def _in_test_path() -> Column:
-    return paths.surface_of(F.col("path")) == "test"
+def _in_test_path(line: Line) -> Sql:
+    return line.path_surface.equals("test")
 
 
-def _java_log_line() -> Column:
-    return _code(fv.JAVA_LOG_CALL) & _code(fv.JAVA_LOG_SENSITIVE)
+def _java_log_line(line: Line) -> Sql:
+    return line.code_has(fv.JAVA_LOG_CALL) & line.code_has(fv.JAVA_LOG_SENSITIVE)
 
 
-def _java_log_masked() -> Column:
-    return _java_log_line() & _raw(fv.JAVA_LOG_MASKED)
+def _java_log_masked(line: Line) -> Sql:
+    return _java_log_line(line) & line.raw_has(fv.JAVA_LOG_MASKED)
 
 
-def _graded(regex: str, column: Column, key: str) -> Column:
-    return F.when(tx.matches(column, regex), F.lit(f"{key}_controlled")).otherwise(F.lit(key))
+def _graded(regex: str, column: Sql, key: str) -> Sql:
+    return when(column.matches(regex), lit(f"{key}_controlled")).otherwise(lit(key))
 
 
-def _java_exec() -> Column:
-    raw = F.col("raw")
+def _java_exec(line: Line) -> Sql:
+    raw = line.raw
     return (
-        F.when(_code(fv.JAVA_EXEC_RUNTIME), _graded(fv.JAVA_EXEC_CONTROLLED, raw, "j_exec_runtime"))
-        .when(_code(fv.JAVA_EXEC_BUILDER), _graded(fv.JAVA_EXEC_CONTROLLED, raw, "j_exec_builder"))
-        .when(_code(fv.JAVA_EXEC_ENGINE), F.lit("j_exec_engine"))
+        when(line.code_has(fv.JAVA_EXEC_RUNTIME), _graded(fv.JAVA_EXEC_CONTROLLED, raw, "j_exec_runtime"))
+        .when(line.code_has(fv.JAVA_EXEC_BUILDER), _graded(fv.JAVA_EXEC_CONTROLLED, raw, "j_exec_builder"))
+        .when(line.code_has(fv.JAVA_EXEC_ENGINE), lit("j_exec_engine"))
     )
 
 
-def _java_sql() -> Column:
-    bound = _raw(fv.JAVA_SQL_BIND) & _code(fv.JAVA_SQL_STATEMENT)
-    return _code(fv.JAVA_SQL_CALL) & _raw(fv.JAVA_SQL_VERB) & _raw(fv.JAVA_SQL_DYNAMIC) & ~bound
+def _java_sql(line: Line) -> Sql:
+    bound = line.raw_has(fv.JAVA_SQL_BIND) & line.code_has(fv.JAVA_SQL_STATEMENT)
+    return line.code_has(fv.JAVA_SQL_CALL) & line.raw_has(fv.JAVA_SQL_VERB) & line.raw_has(fv.JAVA_SQL_DYNAMIC) & ~bound
 
 
-def _controlled(column: Column, regex: str) -> Column:
-    return F.when(tx.matches(column, regex), F.lit(fv.CONTROLLED_SOURCE)).otherwise(F.lit(fv.UNKNOWN_SOURCE))
+def _controlled(column: Sql, regex: str) -> Sql:
+    return when(column.matches(regex), lit(fv.CONTROLLED_SOURCE)).otherwise(lit(fv.UNKNOWN_SOURCE))
 
 
-def _call_name(column: Column, regex: str, group: int = 1) -> Column:
+def _call_name(column: Sql, regex: str, group: int = 1) -> Sql:
     """Matched call without surrounding blanks and the parenthesis or equals sign."""
-    return F.regexp_replace(tx.extract(column, regex, group), r"^[ (=]+|[ (=]+$", "")
+    return column.extract(regex, group).replaced(r"^[ (=]+|[ (=]+$", "")
 
 
-def _java_controls() -> Column:
-    return tx.present_names(F.col("code_context"), fv.JAVA_CONTROLS)
+def _java_controls(line: Line) -> Sql:
+    return present_names(line.code_context, fv.JAVA_CONTROLS)
 
 
-def _java_upload() -> Column:
-    uploaded = tx.matches(F.col("upload_context"), fv.JAVA_UPLOAD_SOURCE)
-    utility = (paths.surface_of(F.col("path")) == "utility") & ~_raw(fv.JAVA_ORIGINAL_NAME)
+def _java_upload(line: Line) -> Sql:
+    uploaded = line.upload_context.matches(fv.JAVA_UPLOAD_SOURCE)
+    utility = line.path_surface.equals("utility") & ~line.raw_has(fv.JAVA_ORIGINAL_NAME)
     stored = (
-        F.when(utility, F.lit("j_upload_utility"))
-        .when(F.size(_java_controls()) >= 2, F.lit("j_upload_validated"))
-        .otherwise(F.lit("j_upload"))
+        when(utility, lit("j_upload_utility"))
+        .when(Sql(f"size({_java_controls(line).text}) >= 2"), lit("j_upload_validated"))
+        .otherwise(lit("j_upload"))
     )
-    named = _raw(fv.JAVA_ORIGINAL_NAME) & tx.matches(F.col("code_context"), fv.JAVA_STORAGE)
-    return F.when(uploaded & _code(fv.JAVA_UPLOAD_SINK), stored).when(uploaded & named, F.lit("j_upload_name"))
+    named = line.raw_has(fv.JAVA_ORIGINAL_NAME) & line.code_context.matches(fv.JAVA_STORAGE)
+    return when(uploaded & line.code_has(fv.JAVA_UPLOAD_SINK), stored).when(uploaded & named, lit("j_upload_name"))
 
 
-def _unmasked(condition: Callable[[], Column]) -> Callable[[], Column]:
+def _unmasked(condition: Test) -> Test:
     """A masked logging line silences every later Java rule on that line."""
-    return lambda: condition() & ~_java_log_masked()
+    return lambda line: condition(line) & ~_java_log_masked(line)
 
 
 _JAVA_USES = frozenset({"code", "uncommented", "contexts"})
 
 
 def _java_rule(name, gate, variant, variants, **kw) -> Rule:
-    return Rule(name, JAVA, gate, variant, variants, uses=_JAVA_USES, **kw)
+    return Rule(name, JAVA, WORDS[name], gate, variant, variants, uses=_JAVA_USES, **kw)
 
 
-def _tested(key: str) -> Column:
-    return F.when(_in_test_path(), F.lit(f"{key}_test")).otherwise(F.lit(key))
+def _tested(line: Line, key: str) -> Sql:
+    return when(_in_test_path(line), lit(f"{key}_test")).otherwise(lit(key))
 
 
 def _java_rules(active: frozenset[str]) -> list[Rule]:
-    def shadowed() -> Column:
+    def shadowed(line: Line) -> Sql:
         """The plain assignment gives way to a later secret on its line, if that one is kept."""
-        constructor = _uncommented(fv.JAVA_AWS_CONSTRUCTOR)
-        test = _in_test_path()
+        constructor = line.uncommented_has(fv.JAVA_AWS_CONSTRUCTOR)
+        test = _in_test_path(line)
 
-        def kept(key: str) -> Column:
-            return F.when(test, F.lit(f"{key}_test" in active)).otherwise(F.lit(key in active))
+        def kept(key: str) -> Sql:
+            return when(test, lit(f"{key}_test" in active)).otherwise(lit(key in active))
 
-        return F.when(constructor, kept("j_secret_awsctor")).otherwise(
-            _java_secret_literal() & kept("j_secret_literal")
+        return when(constructor, kept("j_secret_awsctor")).otherwise(
+            _java_secret_literal(line) & kept("j_secret_literal")
         )
 
     return [
         _java_rule("j_secret_assign", _java_secret_assigned,
-                   lambda: F.when(~shadowed(), F.lit("j_secret_assign")), ("j_secret_assign",)),
+                   lambda line: when(~shadowed(line), lit("j_secret_assign")), ("j_secret_assign",)),
         _java_rule("j_secret_known",
-                   lambda: _uncommented(fv.JAVA_AWS_CONSTRUCTOR) | _java_secret_literal(),
-                   lambda: F.when(_uncommented(fv.JAVA_AWS_CONSTRUCTOR), _tested("j_secret_awsctor"))
-                   .otherwise(_tested("j_secret_literal")),
+                   lambda line: line.uncommented_has(fv.JAVA_AWS_CONSTRUCTOR) | _java_secret_literal(line),
+                   lambda line: when(line.uncommented_has(fv.JAVA_AWS_CONSTRUCTOR), _tested(line, "j_secret_awsctor"))
+                   .otherwise(_tested(line, "j_secret_literal")),
                    ("j_secret_awsctor", "j_secret_awsctor_test", "j_secret_literal", "j_secret_literal_test")),
-        _java_rule("j_log", _unmasked(_java_log_line), lambda: F.lit("j_log"), ("j_log",)),
+        _java_rule("j_log", _unmasked(_java_log_line), lambda line: lit("j_log"), ("j_log",)),
         _java_rule("j_exec",
-                   _unmasked(lambda: _code(fv.JAVA_EXEC_RUNTIME) | _code(fv.JAVA_EXEC_BUILDER)
-                             | _code(fv.JAVA_EXEC_ENGINE)),
+                   _unmasked(lambda line: line.code_has(fv.JAVA_EXEC_RUNTIME) | line.code_has(fv.JAVA_EXEC_BUILDER)
+                             | line.code_has(fv.JAVA_EXEC_ENGINE)),
                    _java_exec,
                    ("j_exec_runtime", "j_exec_runtime_controlled", "j_exec_builder",
                     "j_exec_builder_controlled", "j_exec_engine")),
-        _java_rule("j_sql", _unmasked(_java_sql), lambda: F.lit("j_sql"), ("j_sql",),
-                   api=lambda: F.coalesce(F.nullif(tx.extract(F.col("code"), fv.JAVA_SQL_API, 1), F.lit("")),
-                                          F.lit(fv.SQL_API_FALLBACK)),
-                   source=lambda: _controlled(F.col("raw"), fv.JAVA_SQL_CONTROLLED)),
+        _java_rule("j_sql", _unmasked(_java_sql), lambda line: lit("j_sql"), ("j_sql",),
+                   api=lambda line: call("coalesce", call("nullif", line.code.extract(fv.JAVA_SQL_API, 1), lit("")),
+                                         lit(fv.SQL_API_FALLBACK)),
+                   source=lambda line: _controlled(line.raw, fv.JAVA_SQL_CONTROLLED)),
         _java_rule("j_upload",
-                   _unmasked(lambda: _code(fv.JAVA_UPLOAD_SINK) | _raw(fv.JAVA_ORIGINAL_NAME)),
+                   _unmasked(lambda line: line.code_has(fv.JAVA_UPLOAD_SINK) | line.raw_has(fv.JAVA_ORIGINAL_NAME)),
                    _java_upload, ("j_upload", "j_upload_utility", "j_upload_validated", "j_upload_name"),
-                   api=lambda: _call_name(F.col("code"), fv.JAVA_UPLOAD_SINK), controls=_java_controls),
-        _java_rule("j_path", _unmasked(lambda: _code(fv.JAVA_PATH_SINK) & _raw(fv.JAVA_PATH_SOURCE)),
-                   lambda: F.lit("j_path"), ("j_path",),
-                   api=lambda: _call_name(F.col("code"), fv.JAVA_PATH_SINK),
-                   source=lambda: tx.extract(F.col("raw"), fv.JAVA_PATH_SOURCE, 1), controls=_java_controls),
-        _java_rule("j_deser", _unmasked(lambda: _code(fv.JAVA_DESER)),
-                   lambda: F.when(tx.matches(F.col("code_context"), fv.JAVA_DESER_CONTEXT), F.lit("j_deser")),
+                   api=lambda line: _call_name(line.code, fv.JAVA_UPLOAD_SINK), controls=_java_controls),
+        _java_rule("j_path", _unmasked(lambda line: line.code_has(fv.JAVA_PATH_SINK) & line.raw_has(fv.JAVA_PATH_SOURCE)),
+                   lambda line: lit("j_path"), ("j_path",),
+                   api=lambda line: _call_name(line.code, fv.JAVA_PATH_SINK),
+                   source=lambda line: line.raw.extract(fv.JAVA_PATH_SOURCE, 1), controls=_java_controls),
+        _java_rule("j_deser", _unmasked(lambda line: line.code_has(fv.JAVA_DESER)),
+                   lambda line: when(line.code_context.matches(fv.JAVA_DESER_CONTEXT), lit("j_deser")),
                    ("j_deser",)),
-        _java_rule("j_tls", _unmasked(lambda: _code(fv.JAVA_TLS) & ~_code(fv.JAVA_IMPORT)),
-                   lambda: F.lit("j_tls"), ("j_tls",)),
-        _java_rule("j_random", _unmasked(lambda: _code(fv.JAVA_RANDOM)), lambda: F.lit("j_random"), ("j_random",)),
+        _java_rule("j_tls", _unmasked(lambda line: line.code_has(fv.JAVA_TLS) & ~line.code_has(fv.JAVA_IMPORT)),
+                   lambda line: lit("j_tls"), ("j_tls",)),
+        _java_rule("j_random", _unmasked(lambda line: line.code_has(fv.JAVA_RANDOM)), lambda line: lit("j_random"), ("j_random",)),
     ]
 
 
 # --- JavaScript / TypeScript rules ---------------------------------------------------------
 
 
-def _js_secret() -> Column:
-    known = _raw(fv.AWS_KEY_ID) | _raw(fv.JS_SECRET_ASSIGN) | _raw(fv.JS_SECRET_CONSTRUCTOR)
-    return known & ~_raw(fv.JS_SECRET_ENVIRONMENT)
+def _js_secret(line: Line) -> Sql:
+    known = line.raw_has(fv.AWS_KEY_ID) | line.raw_has(fv.JS_SECRET_ASSIGN) | line.raw_has(fv.JS_SECRET_CONSTRUCTOR)
+    return known & ~line.raw_has(fv.JS_SECRET_ENVIRONMENT)
 
 
-def _js_exec_gate() -> Column:
-    return _code(fv.JS_EVAL) | _code(fv.JS_FUNCTION) | _code(fv.JS_CHILD_PROCESS) | _code(fv.JS_VM)
+def _js_exec_gate(line: Line) -> Sql:
+    return line.code_has(fv.JS_EVAL) | line.code_has(fv.JS_FUNCTION) | line.code_has(fv.JS_CHILD_PROCESS) | line.code_has(fv.JS_VM)
 
 
-def _js_exec_api() -> Column:
+def _js_exec_api(line: Line) -> Sql:
     return (
-        F.when(_code(fv.JS_EVAL), F.lit("eval"))
-        .when(_code(fv.JS_FUNCTION), F.lit("Function"))
-        .when(_code(fv.JS_CHILD_PROCESS), tx.extract(F.col("code"), fv.JS_CHILD_PROCESS, 1))
-        .otherwise(tx.extract(F.col("code"), fv.JS_VM_API, 1))
+        when(line.code_has(fv.JS_EVAL), lit("eval"))
+        .when(line.code_has(fv.JS_FUNCTION), lit("Function"))
+        .when(line.code_has(fv.JS_CHILD_PROCESS), line.code.extract(fv.JS_CHILD_PROCESS, 1))
+        .otherwise(line.code.extract(fv.JS_VM_API, 1))
     )
 
 
-def _js_exec() -> Column:
-    raw = F.col("raw")
-    return F.when(
-        _code(fv.JS_EVAL) | _code(fv.JS_FUNCTION), _graded(fv.JS_EXEC_CONTROLLED, raw, "js_exec_eval")
+def _js_exec(line: Line) -> Sql:
+    raw = line.raw
+    return when(
+        line.code_has(fv.JS_EVAL) | line.code_has(fv.JS_FUNCTION), _graded(fv.JS_EXEC_CONTROLLED, raw, "js_exec_eval")
     ).otherwise(_graded(fv.JS_EXEC_CONTROLLED, raw, "js_exec"))
 
 
-def _js_sql() -> Column:
-    return (_code(fv.JS_SQL_CALL) & _raw(fv.JS_SQL_VERB) & _raw(fv.JS_SQL_DYNAMIC) & ~_raw(fv.JS_SQL_BIND))
+def _js_sql(line: Line) -> Sql:
+    return (line.code_has(fv.JS_SQL_CALL) & line.raw_has(fv.JS_SQL_VERB) & line.raw_has(fv.JS_SQL_DYNAMIC) & ~line.raw_has(fv.JS_SQL_BIND))
 
 
-def _js_controls() -> Column:
-    return tx.present_names(F.col("raw_context"), fv.JS_CONTROLS)
+def _js_controls(line: Line) -> Sql:
+    return present_names(line.raw_context, fv.JS_CONTROLS)
 
 
-def _js_uploaded() -> Column:
-    return tx.matches(F.col("code_context"), fv.JS_UPLOAD_SOURCE)
+def _js_uploaded(line: Line) -> Sql:
+    return line.code_context.matches(fv.JS_UPLOAD_SOURCE)
 
 
-def _js_upload_named() -> Column:
-    return (_js_uploaded() & tx.matches(F.col("raw_context"), fv.JS_ORIGINAL_NAME)
-            & tx.matches(F.col("raw_context"), fv.JS_STORAGE))
+def _js_upload_named(line: Line) -> Sql:
+    return (_js_uploaded(line) & line.raw_context.matches(fv.JS_ORIGINAL_NAME)
+            & line.raw_context.matches(fv.JS_STORAGE))
 
 
 _SCRIPT_USES = frozenset({"code", "contexts"})
 
 
 def _script_rule(name, gate, variant, variants, **kw) -> Rule:
-    return Rule(name, SCRIPT, gate, variant, variants, uses=_SCRIPT_USES, **kw)
+    return Rule(name, SCRIPT, WORDS[name.removesuffix("_name")], gate, variant, variants, uses=_SCRIPT_USES, **kw)
 
 
 def _script_rules() -> list[Rule]:
     return [
         _script_rule("js_secret", _js_secret,
-                     lambda: F.when(_raw(fv.JS_SECRET_ASSIGN), F.lit("js_secret_assign"))
-                     .otherwise(F.lit("js_secret")),
+                     lambda line: when(line.raw_has(fv.JS_SECRET_ASSIGN), lit("js_secret_assign"))
+                     .otherwise(lit("js_secret")),
                      ("js_secret_assign", "js_secret")),
-        _script_rule("js_log", lambda: _code(fv.JS_LOG_CALL) & _code(fv.JS_LOG_SENSITIVE),
-                     lambda: F.when(_raw(fv.JS_LOG_PRESENCE), F.lit("js_log_presence")).otherwise(F.lit("js_log")),
+        _script_rule("js_log", lambda line: line.code_has(fv.JS_LOG_CALL) & line.code_has(fv.JS_LOG_SENSITIVE),
+                     lambda line: when(line.raw_has(fv.JS_LOG_PRESENCE), lit("js_log_presence")).otherwise(lit("js_log")),
                      ("js_log_presence", "js_log")),
         _script_rule("js_exec", _js_exec_gate, _js_exec,
                      ("js_exec", "js_exec_controlled", "js_exec_eval", "js_exec_eval_controlled"),
                      api=_js_exec_api),
-        _script_rule("js_formdata", lambda: _code(fv.JS_FORM_APPEND) & ~_code(fv.JS_UPLOAD_SINK),
-                     lambda: F.lit("js_formdata"), ("js_formdata",)),
-        _script_rule("js_upload", lambda: _code(fv.JS_UPLOAD_SINK),
-                     lambda: F.when(_js_uploaded(), F.lit("js_upload")), ("js_upload",),
-                     api=lambda: _call_name(F.col("code"), fv.JS_UPLOAD_SINK),
-                     source=lambda: tx.extract(F.col("code_context"), fv.JS_UPLOAD_SOURCE, 1),
+        _script_rule("js_formdata", lambda line: line.code_has(fv.JS_FORM_APPEND) & ~line.code_has(fv.JS_UPLOAD_SINK),
+                     lambda line: lit("js_formdata"), ("js_formdata",)),
+        _script_rule("js_upload", lambda line: line.code_has(fv.JS_UPLOAD_SINK),
+                     lambda line: when(_js_uploaded(line), lit("js_upload")), ("js_upload",),
+                     api=lambda line: _call_name(line.code, fv.JS_UPLOAD_SINK),
+                     source=lambda line: line.code_context.extract(fv.JS_UPLOAD_SOURCE, 1),
                      controls=_js_controls),
-        _script_rule("js_upload_name", lambda: _code(fv.JS_UPLOAD_SINK),
-                     lambda: F.when(_js_upload_named(), F.lit("js_upload_name")), ("js_upload_name",),
+        _script_rule("js_upload_name", lambda line: line.code_has(fv.JS_UPLOAD_SINK),
+                     lambda line: when(_js_upload_named(line), lit("js_upload_name")), ("js_upload_name",),
                      controls=_js_controls),
-        _script_rule("js_sql", _js_sql, lambda: F.lit("js_sql"), ("js_sql",),
-                     api=lambda: _call_name(F.col("code"), fv.JS_SQL_CALL),
-                     source=lambda: _controlled(F.col("raw"), fv.JS_SQL_CONTROLLED)),
-        _script_rule("js_ssrf", lambda: _code(fv.JS_OUTBOUND) & _raw(fv.JS_OUTBOUND_CONTROLLED),
-                     lambda: F.lit("js_ssrf"), ("js_ssrf",),
-                     api=lambda: _call_name(F.col("code"), fv.JS_OUTBOUND)),
-        _script_rule("js_render", lambda: _code(fv.JS_RENDER),
-                     lambda: F.when(~tx.matches(F.col("code_context"), fv.JS_SANITIZED), F.lit("js_render")),
+        _script_rule("js_sql", _js_sql, lambda line: lit("js_sql"), ("js_sql",),
+                     api=lambda line: _call_name(line.code, fv.JS_SQL_CALL),
+                     source=lambda line: _controlled(line.raw, fv.JS_SQL_CONTROLLED)),
+        _script_rule("js_ssrf", lambda line: line.code_has(fv.JS_OUTBOUND) & line.raw_has(fv.JS_OUTBOUND_CONTROLLED),
+                     lambda line: lit("js_ssrf"), ("js_ssrf",),
+                     api=lambda line: _call_name(line.code, fv.JS_OUTBOUND)),
+        _script_rule("js_render", lambda line: line.code_has(fv.JS_RENDER),
+                     lambda line: when(~line.code_context.matches(fv.JS_SANITIZED), lit("js_render")),
                      ("js_render",),
-                     api=lambda: _call_name(F.col("code"), fv.JS_RENDER)),
+                     api=lambda line: _call_name(line.code, fv.JS_RENDER)),
     ]
 
 
@@ -447,39 +519,95 @@ def line_rules(active: frozenset[str], custom: Iterable[CustomRule] = ()) -> lis
 # --- matching -------------------------------------------------------------------------------
 
 
-def line_gate(rules: list[Rule]) -> Column:
-    """True for a line that some rule wants to look at; rules of other languages cost nothing."""
-    gate = None
-    for languages in (GENERIC, JAVA, SCRIPT):
-        group = [rule for rule in rules if rule.languages == languages]
-        if not group:
-            continue
-        hit = group[0].gate()
-        for rule in group[1:]:
-            hit = hit | rule.gate()
-        condition = F.col("language").isin(*languages) & hit
-        gate = condition if gate is None else gate | condition
-    return F.lit(False) if gate is None else gate
-
-
-def _match_struct(rule: Rule, ordinal: int) -> Column:
-    no_text = F.lit(None).cast("string")
-    return F.when(
-        rule.applies() & rule.gate(),
-        F.struct(
-            F.lit(ordinal).alias("ord"),
-            rule.variant().alias("key"),
-            (rule.api() if rule.api else no_text).alias("api"),
-            (rule.source() if rule.source else no_text).alias("source"),
-            (rule.controls() if rule.controls else F.array().cast("array<string>")).alias("controls"),
-        ),
-    )
+def in_group(rules: list[Rule], languages: tuple[str, ...]) -> list[Rule]:
+    return [rule for rule in rules if rule.languages == languages]
+
+
+def batches(rules: list[Rule]) -> list[list[Rule]]:
+    """The rules in as many lists as it takes for each group to fit the bits of a mask."""
+    result: list[list[Rule]] = []
+    for languages in GROUPS:
+        group = in_group(rules, languages)
+        for number, start in enumerate(range(0, len(group), GROUP_BITS)):
+            if number == len(result):
+                result.append([])
+            result[number].extend(group[start:start + GROUP_BITS])
+    return result
+
+
+def _mask(conditions: list[Sql]) -> Sql:
+    bits = [f"if({condition.text}, {1 << i}L, 0L)" for i, condition in enumerate(conditions)]
+    return Sql("(" + " | ".join(bits) + ")")
+
+
+def _has_bit(mask: str, position: int) -> Sql:
+    return Sql(f"({mask} & {1 << position}L) <> 0")
+
+
+def _per_group(rules: list[Rule], value: Callable[[list[Rule]], Sql], otherwise: str) -> Column:
+    """A value chosen by language; the rules of other languages are not even looked at."""
+    cases = []
+    for languages in GROUPS:
+        group = in_group(rules, languages)
+        if group:
+            names = ", ".join(lit(name).text for name in languages)
+            cases.append((Sql(f"language in ({names})"), value(group)))
+    return F.expr(Case(cases).otherwise(Sql(otherwise)).text if cases else otherwise)
+
+
+def file_mask(rules: list[Rule], lowered: str) -> Column:
+    """Rules, as bits, whose words a file holds; one substring search per word and file."""
+    return _per_group(rules, lambda group: _mask([rule.worded(Sql(lowered)) for rule in group]), "0L")
+
+
+def uses_code(rules: list[Rule], mask: str) -> Column:
+    """Whether a file needs its masked lines: some rule it has words for reads them."""
+    def needed(group: list[Rule]) -> Sql:
+        bits = sum(1 << i for i, rule in enumerate(group) if "code" in rule.uses)
+        return Sql(f"({mask} & {bits}L) <> 0")
+
+    return _per_group(rules, needed, "false")
+
+
+def line_masks(rules: list[Rule], lines: str, mask: str) -> Column:
+    """For an array of lines, the rules whose gate each line passes, as bits.
+
+    Conditions come in order of cost: the bit of the file, the words, the expressions.
+    """
+    line = Line("x.", "_lines")
+
+    def of_group(group: list[Rule]) -> Sql:
+        tests = [_has_bit(mask, i) & rule.worded(line.lowered) & rule.gate(line) for i, rule in enumerate(group)]
+        return Sql(f"transform({lines}, x -> {_mask(tests).text})")
+
+    return _per_group(rules, of_group, "cast(array() as array<bigint>)")
+
+
+_NO_TEXT = Sql("cast(null as string)")
+_NO_LIST = Sql("cast(array() as array<string>)")
+
+
+def _match(rule: Rule, position: int, line: Line) -> Sql:
+    fields = {
+        "ord": lit(position),
+        "key": rule.variant(line),
+        "api": rule.api(line) if rule.api else _NO_TEXT,
+        "source": rule.source(line) if rule.source else _NO_TEXT,
+        "controls": rule.controls(line) if rule.controls else _NO_LIST,
+    }
+    parts = [part for name, value in fields.items() for part in (lit(name), value)]
+    return when(_has_bit("mask", position), call("named_struct", *parts))
 
 
 def line_matches(lines: DataFrame, rules: list[Rule], active: frozenset[str], keep: list[str]) -> DataFrame:
     """One row per (line, matching rule)."""
-    found = F.array(*[_match_struct(rule, ordinal) for ordinal, rule in enumerate(rules)])
-    rows = lines.select(*keep, "line_no", "evidence", F.explode(found).alias("match"))
+    line = Line()
+
+    def found(group: list[Rule]) -> Sql:
+        return call("array", *[_match(rule, position, line) for position, rule in enumerate(group)])
+
+    nothing = "cast(array() as array<struct<ord:int,key:string,api:string,source:string,controls:array<string>>>)"
+    rows = lines.select(*keep, "line_no", "evidence", F.explode(_per_group(rules, found, nothing)).alias("match"))
     return rows.filter(F.col("match.key").isin(*sorted(active))).select(
         *keep, "line_no", "evidence", "match.ord", "match.key", "match.api", "match.source", "match.controls"
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,11 +10,11 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import paths
 from ..operators import authz, enrich, rules
-from ..operators.lines import candidate_lines, with_line_arrays
+from ..operators.correlate import with_root_cause
+from ..operators.lines import KEEP, candidate_lines
 from ..operators.rules import CustomRule
 from ..options import ScanOptions
 
-_KEEP = ["repo", "path", "language", "code_surface"]
 AUTHZ_KEY = fv.AUTHZ_RULE[0]
 
 
@@ -25,6 +24,9 @@ def active_variants(spark, entries: list[dict], options: ScanOptions) -> frozens
     The small catalogue goes through the same enrichment and filters as the findings do, so
     a rule that could only yield filtered-out findings is never evaluated on a line.
     """
+    if not (options.result_types or options.minimum_evidence_level > 0 or options.severities
+            or options.min_confidence > 0):
+        return frozenset(entry["key"] for entry in entries)
     table = spark.createDataFrame([tuple(e[n] for n in rules.CATALOGUE.fieldNames()) for e in entries],
                                   rules.CATALOGUE)
     probe = table.select(
@@ -70,16 +72,11 @@ def local_findings(
         files = files.filter(paths.matches_any_glob(F.col("path"), options.includes))
 
     parts = []
-    selected = rules.line_rules(active, custom)
-    if selected:
-        uses = frozenset().union(*(rule.uses for rule in selected))
-        languages = sorted({language for rule in selected for language in rule.languages})
-        wanted = files.filter(F.col("language").isin(*languages))
-        arrays = with_line_arrays(wanted.select(*_KEEP, "text"))
-        lines = candidate_lines(arrays, _KEEP, rules.line_gate(selected), options.redact, options.snippets,
-                                options.max_snippet_lines, contexts="contexts" in uses)
-        matches = rules.line_matches(lines, selected, active, _KEEP)
-        table = rules.catalogue(spark, [e for e in entries if e["key"] in active])
+    table = rules.catalogue(spark, [e for e in entries if e["key"] in active])
+    for batch in rules.batches(rules.line_rules(active, custom)):
+        languages = sorted({language for rule in batch for language in rule.languages})
+        lines = candidate_lines(files.filter(F.col("language").isin(*languages)), batch, options)
+        matches = rules.line_matches(lines, batch, active, KEEP)
         parts.append(rules.to_findings(matches, table, framework))
     if function_rules and (only is None or AUTHZ_KEY in set(only)):
         functions = authz.functions_without_control(
@@ -93,15 +90,6 @@ def local_findings(
     return findings.transform(enrich.enrich).transform(enrich.apply_filters, options)
 
 
-@dataclass
-class Scan:
-    """Tables of one scan."""
-
-    files: DataFrame
-    findings: DataFrame
-    options: ScanOptions = field(default_factory=ScanOptions)
-
-
 def scan_files(
     files: DataFrame,
     options: ScanOptions = ScanOptions(),
@@ -115,8 +103,6 @@ def scan_files(
     with EXT), so the shuffle for duplicates is theirs alone, unless caller-supplied rules
     could meet other rules on a line.
     """
-    from ..operators.correlate import with_root_cause
-
     custom = tuple(custom_rules)
     findings = local_findings(files, options, custom)
     if custom:
