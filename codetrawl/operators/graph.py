@@ -20,10 +20,15 @@ INLINE_CALLERS = 10_000
 
 
 def declared_name(line: Column, language: Column) -> Column:
-    """Name declared on a line, null when there is none."""
+    """Name declared on a line, null when there is none.
+
+    The Java expression backtracks over long lines, so lines without its brackets never meet it.
+    """
     cases = None
     for name, (regex, _) in fv.DECLARATIONS.items():
         value = tx.extract(line, regex, 1)
+        if name == "java":
+            value = F.when(line.contains("(") & line.contains("{"), value)
         cases = F.when(language == name, value) if cases is None else cases.when(language == name, value)
     return F.nullif(cases, F.lit(""))
 

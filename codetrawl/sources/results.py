@@ -29,7 +29,7 @@ _GOSEC_ISSUE = (
     "array<struct<rule_id: string, rule: string, details: string, file: string, line: string, severity: string, "
     "confidence: string, cwe: string>>"
 )
-GOSEC = f"struct<Issues: {_GOSEC_ISSUE}, issues: {_GOSEC_ISSUE}>"
+GOSEC = tuple(f"struct<{name}: {_GOSEC_ISSUE}>" for name in ("Issues", "issues"))
 _SOURCE_LINE = "array<struct<_sourcepath: string, _start: string>>"
 FINDSECBUGS = (
     f"_type string, _priority string, SourceLine {_SOURCE_LINE}, Class struct<SourceLine: {_SOURCE_LINE}>, "
@@ -168,8 +168,9 @@ def bandit(documents: DataFrame, root: str | None = None) -> DataFrame:
 
 
 def gosec(documents: DataFrame, root: str | None = None) -> DataFrame:
-    document = _parsed(documents, GOSEC)
-    rows = _items(documents, F.coalesce(document["Issues"], document["issues"]))
+    # two schemas because field names that differ in case only can not be told apart in one
+    upper, lower = (_parsed(documents, schema) for schema in GOSEC)
+    rows = _items(documents, F.coalesce(upper["Issues"], lower["issues"]))
     return _normal(rows, "gosec", root, rule=F.coalesce(_item("rule_id"), _item("rule", "unknown")),
                    title=_item("details", fv.IMPORT_TITLES["gosec"]),
                    message=_item("details", fv.IMPORT_MESSAGES["gosec"]), path=_item("file"),
