@@ -844,12 +844,12 @@ _CALLS = (r"list_filter(list_transform(regexp_extract_all(raw, '([\p{L}\p{N}_$]+
 def _graph_sql() -> str:
     return f"""{lines_cte()},
     decl AS (SELECT repo, path, language, n, raw, {_DECLARED} AS name FROM lines),
-    asof AS MATERIALIZED (SELECT repo, path, language, n, raw, name,
+    located AS MATERIALIZED (SELECT repo, path, language, n, raw, name,
              last_value(name IGNORE NULLS) OVER w AS symbol,
              last_value(CASE WHEN name IS NOT NULL THEN n END IGNORE NULLS) OVER w AS symbol_line
              FROM decl WINDOW w AS (PARTITION BY repo, path ORDER BY n ROWS UNBOUNDED PRECEDING)),
     called AS (SELECT repo, path, symbol, symbol_line, n, unnest({_CALLS}) AS callee,
-                      unnest(range(len({_CALLS}))) AS k FROM asof WHERE symbol IS NOT NULL),
+                      unnest(range(len({_CALLS}))) AS k FROM located WHERE symbol IS NOT NULL),
     edges AS MATERIALIZED (SELECT repo, path, symbol, symbol_line, callee, min(n * 100000 + k) AS pos FROM called
               WHERE callee <> symbol GROUP BY ALL)"""
 
@@ -867,13 +867,13 @@ add("g_symbol_at", lambda s, sf: graph.symbol_at(corpus.files(s, sf)).select(
     "repo", "path", F.col("line_no").cast("bigint").alias("line_no"), "raw", "symbol",
     F.col("symbol_line").cast("bigint").alias("symbol_line")),
     f"""WITH {_graph_sql()} SELECT repo, path, n::BIGINT AS line_no, raw, symbol, symbol_line::BIGINT AS symbol_line
-        FROM asof""")
+        FROM located""")
 add("g_callers", lambda s, sf: graph.callers(graph.symbols(corpus.files(s, sf))),
     f"WITH {_graph_sql()} SELECT DISTINCT repo, callee AS name, symbol AS caller FROM edges")
 add("g_routes", lambda s, sf: graph.graph_routes(corpus.files(s, sf)).withColumn(
     "line_no", F.col("line_no").cast("bigint")),
     f"""WITH {_graph_sql()} SELECT repo, path, n::BIGINT AS line_no, upper({oracle.x('raw', fv.GRAPH_ROUTE, 1)}) AS method,
-        {oracle.x('raw', fv.GRAPH_ROUTE, 2)} AS route, symbol AS handler FROM asof WHERE {oracle.m('raw', fv.GRAPH_ROUTE)}""")
+        {oracle.x('raw', fv.GRAPH_ROUTE, 2)} AS route, symbol AS handler FROM located WHERE {oracle.m('raw', fv.GRAPH_ROUTE)}""")
 
 
 def _route_sql(group: int, mapping: str) -> str:
@@ -888,7 +888,7 @@ def _routes_sql() -> str:
     routed AS MATERIALIZED (SELECT repo, path, n::BIGINT AS line_no, symbol, symbol_line, raw,
         upper({_route_sql(1, "'MAPPING'")}) AS method, {_route_sql(2, oracle.x('raw', fv.ROUTE_JAVA, 1))} AS route,
         substring(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), 1, 300) AS evidence
-        FROM asof WHERE {any_of('raw', fv.ROUTE_MARKERS)}),
+        FROM located WHERE {any_of('raw', fv.ROUTE_MARKERS)}),
     routes AS (SELECT r.*, (SELECT min(framework) FROM fw WHERE fw.repo = r.repo
                             AND contains(lower(r.raw), lower(fw.framework))) AS framework FROM routed r)"""
 
