@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions import ids
+from ..functions import paths
 from ..functions import text as tx
+from ..functions.sqltext import lit
 from . import rules
 
 _DECLARATION = r"^([ \t]*)(?:async\s+)?def\s+([A-Za-z_]\w*)"
@@ -68,24 +69,22 @@ def functions_without_control(files: DataFrame, snippet_lines: int = fv.SNIPPET_
 
 
 def to_findings(functions: DataFrame, framework: str | None = None) -> DataFrame:
-    key, rule_id, title, category, severity, confidence = fv.AUTHZ_RULE
-    surface = rules.effective_surface(F.col("path"), F.col("code_surface"))
-    return functions.select(*rules.finding_columns(
-        repo=F.col("repo"),
-        id=ids.finding_id(F.lit(rule_id), F.col("path"), F.col("line_no")),
-        rule_id=F.lit(rule_id), title=F.lit(title), description=F.lit(title), category=F.lit(category),
-        subcategory=F.lit("secure-coding"), language=F.lit("python"),
-        classification=F.lit("review_lead"), confidence_score=F.lit(confidence),
-        suggested_severity=F.lit(severity), verdict_candidate=F.lit("secure_coding_concern"),
-        file_path=F.col("path"), start_line=F.col("line_no"), end_line=F.col("line_no"),
-        function=F.col("function"),
-        missing_or_questionable_controls=F.array(F.lit(fv.AUTHZ_MISSING)),
-        recommended_verification_steps=F.array(F.lit(fv.AUTHZ_VERIFY)),
-        recommended_remediation=F.lit(fv.AUTHZ_REMEDIATION),
-        analyzer=F.lit("python.ast"), parser_used=F.lit("python.ast"), evidence=F.col("evidence"),
-        code_surface=surface, test_surface=surface == "test",
-        emit_seq=F.struct(
-            F.lit(0).alias("origin"), F.col("path").alias("file"), F.lit(1).alias("phase"),
-            F.col("line_no").cast("long").alias("pos"), F.lit(0).alias("ord"),
-        ),
-    ))
+    rule_id, title, category, severity, confidence = fv.AUTHZ_RULE[1:]
+
+    def text(value: str) -> str:
+        return lit(value).text
+
+    surface = "if(code_surface <> 'unknown', code_surface, path_surface)"
+    return functions.withColumn("path_surface", paths.surface_of(F.col("path"))).selectExpr(*rules.finding_columns(dict(
+        repo="repo", id=f"substring(sha2(concat_ws(':', {text(rule_id)}, path, line_no), 256), 1, 16)",
+        rule_id=text(rule_id), title=text(title), description=text(title), category=text(category),
+        subcategory="'secure-coding'", language="'python'", classification="'review_lead'",
+        framework="null" if framework is None else text(framework),
+        confidence_score=str(confidence), suggested_severity=text(severity),
+        verdict_candidate="'secure_coding_concern'", file_path="path", start_line="line_no", end_line="line_no",
+        function="function", missing_or_questionable_controls=f"array({text(fv.AUTHZ_MISSING)})",
+        recommended_verification_steps=f"array({text(fv.AUTHZ_VERIFY)})",
+        recommended_remediation=text(fv.AUTHZ_REMEDIATION), analyzer="'python.ast'", parser_used="'python.ast'",
+        evidence="evidence", code_surface=surface, test_surface=f"{surface} = 'test'",
+        emit_seq="named_struct('origin', 0, 'file', path, 'phase', 1, 'pos', cast(line_no as bigint), 'ord', 0)",
+    )))

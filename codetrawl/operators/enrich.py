@@ -19,67 +19,53 @@ def language_filter(files: DataFrame, languages) -> DataFrame:
     return files.filter(F.col("language").isin(*languages)) if languages else files
 
 
+def _with(df: DataFrame, **expressions: str) -> DataFrame:
+    return df.withColumns({name: F.expr(text) for name, text in expressions.items()})
+
+
 def rule_family(df: DataFrame) -> DataFrame:
-    parts = F.split("rule_id", r"\.")
-    return df.withColumn("rule_family", F.when(F.size(parts) > 1, F.get(parts, F.lit(1))).otherwise(F.col("rule_id")))
+    return _with(df, rule_family=r"coalesce(get(split(rule_id, '\\.'), 1), rule_id)")
 
 
 def parser_label(df: DataFrame) -> DataFrame:
     """Python findings carry the label of the module parser."""
-    python = F.col("language") == "python"
-    return df.withColumns({
-        "parser_used": F.when(python, F.lit("python.ast")).otherwise(F.col("parser_used")),
-        "syntax_node_type": F.when(python, F.lit("Module")).otherwise(F.col("syntax_node_type")),
-    })
+    return _with(df, parser_used="if(language = 'python', 'python.ast', parser_used)",
+                 syntax_node_type="if(language = 'python', 'Module', syntax_node_type)")
 
 
 def surface_flags(df: DataFrame) -> DataFrame:
-    test = F.col("code_surface") == "test"
-    return df.withColumns({
-        "test_only": test,
-        "production_reachability": F.when(test, F.lit("test_only")).otherwise(F.lit("production")),
-    })
+    return _with(df, test_only="code_surface = 'test'",
+                 production_reachability="if(code_surface = 'test', 'test_only', 'production')")
 
 
 def detected(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "source_detected": F.coalesce(F.col("source"), F.lit("")) != "",
-        "sink_detected": F.coalesce(F.col("sink"), F.lit("")) != "",
-    })
+    return _with(df, source_detected="coalesce(source, '') <> ''", sink_detected="coalesce(sink, '') <> ''")
 
 
 def flow(df: DataFrame) -> DataFrame:
-    partial = F.col("source_detected") & F.col("sink_detected") & F.col("invocation_detected")
-    sink_only = F.col("sink_detected") | F.col("invocation_detected")
-    return df.withColumns({
-        "flow_status": F.when(partial, F.lit("partial")).when(sink_only, F.lit("sink_only"))
-        .otherwise(F.lit("unresolved")),
-        "evidence_level": F.when(partial, F.lit(2)).otherwise(F.lit(0)),
-    })
+    partial = "source_detected and sink_detected and invocation_detected"
+    return _with(
+        df, flow_status=f"case when {partial} then 'partial' "
+                        "when sink_detected or invocation_detected then 'sink_only' else 'unresolved' end",
+        evidence_level=f"if({partial}, 2, 0)")
 
 
 def downgrade(df: DataFrame) -> DataFrame:
     """A review lead of which only the sink is seen becomes an informational review point."""
-    lower = (F.col("flow_status") == "sink_only") & (F.col("classification") == "review_lead")
-    return df.withColumns({
-        "verdict_candidate": F.when(lower, F.lit("review_point")).otherwise(F.col("verdict_candidate")),
-        "suggested_severity": F.when(lower, F.lit("informational")).otherwise(F.col("suggested_severity")),
-        "cwe_ids": F.when(lower, F.array().cast("array<string>")).otherwise(F.col("cwe_ids")),
-        "classification": F.when(lower, F.lit("review_point")).otherwise(F.col("classification")),
-    })
+    lower = "flow_status = 'sink_only' and classification = 'review_lead'"
+    return _with(
+        df, verdict_candidate=f"if({lower}, 'review_point', verdict_candidate)",
+        suggested_severity=f"if({lower}, 'informational', suggested_severity)",
+        cwe_ids=f"if({lower}, cast(array() as array<string>), cwe_ids)",
+        classification=f"if({lower}, 'review_point', classification)")
 
 
 def score(df: DataFrame) -> DataFrame:
-    return df.withColumns({
-        "evidence_score": F.least(F.lit(100), F.col("confidence_score")),
-        "evidence_completeness": F.create_map(
-            F.lit("source_identified"), F.col("source_detected"),
-            F.lit("sink_identified"), F.col("sink_detected"),
-            F.lit("actual_invocation_confirmed"), F.col("invocation_detected"),
-            F.lit("production_surface"), ~F.col("test_only"),
-            F.lit("runtime_dependency_remaining"), F.size("proof_gaps") > 0,
-        ),
-    })
+    return _with(
+        df, evidence_score="least(100, confidence_score)",
+        evidence_completeness="map('source_identified', source_detected, 'sink_identified', sink_detected, "
+                              "'actual_invocation_confirmed', invocation_detected, 'production_surface', "
+                              "not test_only, 'runtime_dependency_remaining', size(proof_gaps) > 0)")
 
 
 STEPS = (rule_family, parser_label, surface_flags, detected, flow, downgrade, score)

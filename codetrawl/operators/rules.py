@@ -3,8 +3,9 @@
 A ``Rule`` says which languages it is for, which words a file and a line must hold for its
 regular expressions to have a chance (``words``), which condition a line must meet before its
 contexts are worth building (``gate``), and which catalogue entry (variant) it then matches.
-Texts, grades and CWE ids of the variants are rows of a small catalogue that is joined to the
-matches; its size is fixed by the library and checked before it is broadcast.
+Texts, grades and CWE ids of the variants are rows of a small catalogue. It is enriched and
+filtered as if its rows were findings, and joined to the matches; its size is fixed by the
+library and checked before it is broadcast.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed_values as fv
-from ..functions import ids, paths
 from ..functions.sqltext import Case, Sql, call, lit, present_names, when
+from ..options import ScanOptions
 from ..schema import FINDING_DEFAULTS, FINDINGS
+from . import enrich
 
 GENERIC = ("python", "go")
 JAVA = ("java",)
@@ -27,7 +29,7 @@ SCRIPT = ("javascript", "typescript")
 GROUPS = (GENERIC, JAVA, SCRIPT)
 # rules of one group are bits of a BIGINT
 GROUP_BITS = 60
-BROADCAST_CATALOGUE_ROWS = 2_000
+BROADCAST_ROWS = 5_000
 
 
 class Line:
@@ -502,12 +504,6 @@ def catalogue_entries(custom: Iterable[CustomRule] = ()) -> list[dict]:
     return entries
 
 
-def catalogue(spark: SparkSession, entries: list[dict]) -> DataFrame:
-    rows = [tuple(entry[name] for name in CATALOGUE.fieldNames()) for entry in entries]
-    table = spark.createDataFrame(rows, CATALOGUE)
-    return F.broadcast(table) if len(rows) <= BROADCAST_CATALOGUE_ROWS else table
-
-
 def line_rules(active: frozenset[str], custom: Iterable[CustomRule] = ()) -> list[Rule]:
     """Rules in emission order, without those none of whose variants is active."""
     rules = [_generic_rule(entry[0], entry[2]) for entry in fv.GENERIC_RULES]
@@ -616,109 +612,128 @@ def line_matches(lines: DataFrame, rules: list[Rule], active: frozenset[str], ke
 # --- findings -------------------------------------------------------------------------------
 
 
-def finding_columns(**values: Column) -> list[Column]:
-    """The columns of the findings table: given values, defaults for the rest."""
+def finding_columns(values: dict[str, str]) -> list[str]:
+    """The columns of the findings table as SQL: given expressions, defaults for the rest."""
     columns = []
     for schema_field in FINDINGS:
         name, kind = schema_field.name, schema_field.dataType
         if name in values:
-            column = values[name]
+            expression = values[name]
+        elif isinstance(kind, T.ArrayType):
+            expression = "array()"
+        elif isinstance(kind, T.MapType):
+            expression = "map()"
         else:
             default = FINDING_DEFAULTS.get(name)
-            if isinstance(kind, T.ArrayType):
-                column = F.array()
-            elif isinstance(kind, T.MapType):
-                column = F.create_map()
-            else:
-                column = F.lit(default)
-        columns.append(column.cast(kind).alias(name))
+            expression = "null" if default is None else lit(default).text
+        columns.append(f"cast({expression} as {kind.simpleString()}) as {name}")
     return columns
 
 
-def effective_surface(path: Column, code_surface: Column) -> Column:
-    return F.when(code_surface != "unknown", code_surface).otherwise(paths.surface_of(path))
+def _group_of(entry: dict) -> tuple[str, ...]:
+    return {"java": JAVA, "script": SCRIPT}.get(entry["family"], GENERIC)
+
+
+# Fields of a finding that the line decides; the rule variant, the language and whether the file
+# is test code decide all others.
+_VARIABLE = ("match_key", "match_language", "match_test", "family", "reason", "fixed_source", "fixed_sink", "fixed_api")
 
 
-def _by_family(generic: Column, java: Column, script: Column) -> Column:
-    return F.when(F.col("family") == "java", java).when(F.col("family") == "script", script).otherwise(generic)
+_TEMPLATE_FIELDS = (
+    "rule_id", "title", "category", "subcategory", "language", "classification", "confidence_score",
+    "suggested_severity", "cwe_ids", "missing_or_questionable_controls", "missing_controls",
+    "false_positive_conditions", "recommended_remediation", "analyzer", "verdict_candidate", "reachability",
+    "proof_gaps", "counterevidence", "parser_used", "syntax_node_type", "invocation_detected", "test_surface",
+    "sensitive_value", "logging_sink", "rule_family", "test_only", "production_reachability", "source_detected",
+    "sink_detected", "flow_status", "evidence_level", "evidence_score", "evidence_completeness",
+)
 
 
-def _list_text(column: Column) -> Column:
-    """A list as it is printed in verification notes."""
-    quoted = F.concat(F.lit("['"), F.array_join(column, "', '"), F.lit("']"))
-    return F.when(F.size(column) == 0, F.lit("[]")).otherwise(quoted)
+def templates(spark: SparkSession, entries: list[dict], options: ScanOptions) -> DataFrame:
+    """One finding per rule variant, language and kind of surface, enriched and filtered.
+
+    Grades, texts, flow status and the filters depend on nothing else, so they are worked out
+    here, on a few hundred rows, and the findings themselves only pick them up in a join.
+    """
+    names = CATALOGUE.fieldNames()
+    rows = [
+        (language, test, *(entry[name] for name in names))
+        for entry in entries for language in _group_of(entry) for test in (False, True)
+    ]
+    schema = T.StructType([T.StructField("match_language", T.StringType()),
+                           T.StructField("match_test", T.BooleanType()), *CATALOGUE.fields])
+    table = spark.createDataFrame(rows, schema)
+    java, script = fv.JAVA_TEXTS, fv.JS_TEXTS
+
+    def by_family(generic: str, of_java: str, of_script: str) -> str:
+        return f"case family when 'java' then {of_java} when 'script' then {of_script} else {generic} end"
+
+    def texts(name: str, generic: str) -> str:
+        return by_family(generic, lit(java[name]).text, lit(script[name]).text)
+
+    missing = by_family("cast(array() as array<string>)", f"array({lit(java['missing']).text})",
+                        f"array({lit(script['missing']).text})")
+    syntax = ", ".join(lit(name).text for name in fv.INVOCATION_SYNTAX)
+    dynamic = ", ".join(lit(key).text for key in ("j_sql", "j_path", "js_upload", "js_sql"))
+    columns = finding_columns(dict(
+        rule_id="rule_id", title="title", category="category", subcategory=texts("subcategory", "'secure-coding'"),
+        language="match_language", classification="classification", confidence_score="confidence",
+        suggested_severity="severity", cwe_ids="cwes",
+        # a source or sink read from the line is never empty
+        source=f"if(key in ({dynamic}), 'read from the line', fixed_source)", sink="fixed_sink",
+        data_flow="fixed_flow", missing_or_questionable_controls=missing,
+        missing_controls=f"if(family = 'java', {missing}, array())",
+        false_positive_conditions="false_positives", recommended_verification_steps="verify",
+        recommended_remediation=texts("remediation", lit(fv.DEFAULT_REMEDIATION).text),
+        analyzer=texts("analyzer", "concat(match_language, '.lexical')"),
+        verdict_candidate="verdict", code_surface="if(match_test, 'test', 'other')",
+        reachability="if(family <> 'generic' and match_test, 'test_only', 'unknown')",
+        proof_gaps="proof_gaps", counterevidence="counterevidence", parser_used=texts("parser", "'lexical'"),
+        syntax_node_type="syntax", invocation_detected=f"coalesce(syntax in ({syntax}), false)",
+        test_surface="match_test", sensitive_value="sensitive_value", logging_sink="logging_sink",
+    ))
+    plain = table.withColumnRenamed("key", "match_key").selectExpr(
+        *_VARIABLE, *[column.replace("if(key in", "if(match_key in") for column in columns])
+    return plain.transform(enrich.enrich).transform(enrich.apply_filters, options)
+
+
+def broadcast_templates(table: DataFrame, rows: int) -> DataFrame:
+    """The templates with a broadcast hint while their number is within the bound."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
 def to_findings(matches: DataFrame, table: DataFrame, framework: str | None = None) -> DataFrame:
-    """Matches joined with the rule catalogue, in the shape of the findings table."""
-    joined = matches.join(table, "key")
+    """Matches joined with the finding templates, in the shape of the findings table."""
+    surfaced = matches.selectExpr("*", "if(code_surface <> 'unknown', code_surface, path_surface) as surface")
+    template = table.select(*[F.col(name).alias(f"t_{name}") for name in table.columns])
+    joined = surfaced.join(
+        template,
+        (F.col("key") == F.col("t_match_key")) & (F.col("language") == F.col("t_match_language"))
+        & ((F.col("surface") == "test") == F.col("t_match_test")),
+    )
     # the text of the catalogue wins: an upload by original filename names no call
-    api = F.coalesce(F.col("fixed_api"), F.col("api"))
-    source = F.coalesce(F.col("source"), F.col("fixed_source"))
-    sink = F.when(F.col("fixed_sink") == "{api}", api).otherwise(F.col("fixed_sink"))
-    reason = F.regexp_replace(F.col("reason"), F.lit(r"\{api\}"), F.coalesce(api, F.lit("")))
-    structured = F.col("family") != "generic"
-    surface = effective_surface(F.col("path"), F.col("code_surface"))
-    syntax_flow = F.array(F.concat(F.lit("syntax="), F.col("syntax")), F.concat(F.lit("invoked_api="), api))
-    controls = F.col("controls")
-    notes = F.concat(
-        F.lit("syntax="), F.col("syntax"), F.lit("; invoked_api="), api,
-        F.lit("; source="), F.coalesce(source, F.lit("unknown")),
-        F.lit("; sink="), F.coalesce(sink, F.lit("unknown")),
-        F.lit("; controls="), _list_text(controls), F.lit("; reason="), reason,
+    called = joined.selectExpr(
+        "*", "t_family <> 'generic' as structured", "coalesce(t_fixed_api, api) as called",
+        "coalesce(source, t_fixed_source) as origin")
+    target = "if(t_fixed_sink = '{api}', called, t_fixed_sink)"
+    reason = "replace(t_reason, '{api}', coalesce(called, ''))"
+    # The lambda also keeps this wide projection out of whole-stage code: a projection of its own
+    # is split into methods the JVM compiles, one fused method of this width would stay interpreted.
+    controls = """concat('[', array_join(transform(controls, name -> concat("'", name, "'")), ', '), ']')"""
+    notes = (f"concat('syntax=', t_syntax_node_type, '; invoked_api=', called, '; source=', "
+             f"coalesce(origin, 'unknown'), '; sink=', coalesce({target}, 'unknown'), '; controls=', {controls}, "
+             f"'; reason=', {reason})")
+    given = dict(
+        repo="repo", id="substring(sha2(concat_ws(':', t_rule_id, path, line_no), 256), 1, 16)",
+        description=reason, file_path="path", start_line="line_no", end_line="line_no", source="origin", sink=target,
+        data_flow="if(structured, array(concat('syntax=', t_syntax_node_type), concat('invoked_api=', called)), "
+                  "t_data_flow)",
+        observed_controls="controls", evidence="evidence", code_surface="surface",
+        recommended_verification_steps="if(contains(t_reason, '{api}'), array(" + reason
+        + ", get(t_recommended_verification_steps, 1)), t_recommended_verification_steps)",
+        verification_notes=f"if(structured, {notes}, '')", exact_invoked_api="if(structured, called, null)",
+        framework="null" if framework is None else f"if(structured, null, {lit(framework).text})",
+        emit_seq="named_struct('origin', 0, 'file', path, 'phase', 0, 'pos', cast(line_no as bigint), 'ord', ord)",
     )
-    none = F.array().cast("array<string>")
-    java, script = fv.JAVA_TEXTS, fv.JS_TEXTS
-    missing = _by_family(none, F.array(F.lit(java["missing"])), F.array(F.lit(script["missing"])))
-    verify = F.when(structured & F.col("reason").contains("{api}"),
-                    F.array(reason, F.element_at(F.col("verify"), 2))).otherwise(F.col("verify"))
-    return joined.select(*finding_columns(
-        repo=F.col("repo"),
-        id=ids.finding_id(F.col("rule_id"), F.col("path"), F.col("line_no")),
-        rule_id=F.col("rule_id"),
-        title=F.col("title"),
-        description=reason,
-        category=F.col("category"),
-        subcategory=_by_family(F.lit("secure-coding"), F.lit(java["subcategory"]), F.lit(script["subcategory"])),
-        language=F.col("language"),
-        framework=F.when(structured, F.lit(None)).otherwise(F.lit(framework)),
-        classification=F.col("classification"),
-        confidence_score=F.col("confidence"),
-        suggested_severity=F.col("severity"),
-        cwe_ids=F.col("cwes"),
-        file_path=F.col("path"),
-        start_line=F.col("line_no"),
-        end_line=F.col("line_no"),
-        source=source,
-        sink=sink,
-        data_flow=F.when(structured, syntax_flow).otherwise(F.col("fixed_flow")),
-        observed_controls=controls,
-        missing_or_questionable_controls=missing,
-        missing_controls=F.when(F.col("family") == "java", missing).otherwise(none),
-        evidence=F.col("evidence"),
-        false_positive_conditions=F.col("false_positives"),
-        recommended_verification_steps=verify,
-        recommended_remediation=_by_family(F.lit(fv.DEFAULT_REMEDIATION), F.lit(java["remediation"]),
-                                           F.lit(script["remediation"])),
-        analyzer=_by_family(F.concat(F.col("language"), F.lit(".lexical")), F.lit(java["analyzer"]),
-                            F.lit(script["analyzer"])),
-        verification_notes=F.when(structured, notes).otherwise(F.lit("")),
-        verdict_candidate=F.col("verdict"),
-        code_surface=surface,
-        reachability=F.when(structured & (surface == "test"), F.lit("test_only")).otherwise(F.lit("unknown")),
-        proof_gaps=F.col("proof_gaps"),
-        counterevidence=F.col("counterevidence"),
-        parser_used=_by_family(
-            F.when(F.col("language") == "python", F.lit("python.ast")).otherwise(F.lit("lexical")),
-            F.lit(java["parser"]), F.lit(script["parser"])),
-        syntax_node_type=F.col("syntax"),
-        invocation_detected=F.coalesce(F.col("syntax").isin(*fv.INVOCATION_SYNTAX), F.lit(False)),
-        test_surface=surface == "test",
-        exact_invoked_api=F.when(structured, api),
-        sensitive_value=F.col("sensitive_value"),
-        logging_sink=F.col("logging_sink"),
-        emit_seq=F.struct(
-            F.lit(0).alias("origin"), F.col("path").alias("file"), F.lit(0).alias("phase"),
-            F.col("line_no").cast("long").alias("pos"), F.col("ord").alias("ord"),
-        ),
-    ))
+    picked = {name: f"t_{name}" for name in _TEMPLATE_FIELDS}
+    return called.selectExpr(*finding_columns({**picked, **given}))

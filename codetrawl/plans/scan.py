@@ -14,39 +14,11 @@ from ..operators.correlate import with_root_cause
 from ..operators.lines import KEEP, candidate_lines
 from ..operators.rules import CustomRule
 from ..options import ScanOptions
+from ..schema import FINDINGS
 
 AUTHZ_KEY = fv.AUTHZ_RULE[0]
 
 
-def active_variants(spark, entries: list[dict], options: ScanOptions) -> frozenset[str]:
-    """Catalogue variants whose findings can pass the filters that look at the rule alone.
-
-    The small catalogue goes through the same enrichment and filters as the findings do, so
-    a rule that could only yield filtered-out findings is never evaluated on a line.
-    """
-    if not (options.result_types or options.minimum_evidence_level > 0 or options.severities
-            or options.min_confidence > 0):
-        return frozenset(entry["key"] for entry in entries)
-    table = spark.createDataFrame([tuple(e[n] for n in rules.CATALOGUE.fieldNames()) for e in entries],
-                                  rules.CATALOGUE)
-    probe = table.select(
-        F.col("key").alias("_key"),
-        *rules.finding_columns(
-            rule_id=F.col("rule_id"), classification=F.col("classification"),
-            confidence_score=F.col("confidence"), suggested_severity=F.col("severity"),
-            verdict_candidate=F.col("verdict"), cwe_ids=F.col("cwes"),
-            # a source or sink read from the line is never empty
-            source=F.when(F.col("key").isin("j_sql", "j_path", "js_upload", "js_sql"), F.lit("x"))
-            .otherwise(F.col("fixed_source")),
-            sink=F.col("fixed_sink"), proof_gaps=F.col("proof_gaps"),
-            invocation_detected=F.coalesce(F.col("syntax").isin(*fv.INVOCATION_SYNTAX), F.lit(False)),
-        ),
-    )
-    kept = probe.transform(enrich.enrich).transform(
-        enrich.apply_filters, options, enrich.VARIANT_FILTERS)
-    return frozenset(row["_key"] for row in kept.select("_key").collect())
-
-
 def local_findings(
     files: DataFrame,
     options: ScanOptions = ScanOptions(),
@@ -64,30 +36,35 @@ def local_findings(
     spark = files.sparkSession
     custom = tuple(custom_rules)
     entries = rules.catalogue_entries(custom)
-    active = active_variants(spark, entries, options)
-    if only is not None:
-        active = active & frozenset(only)
+    keys = {entry["key"] for entry in entries}
+    templates = rules.templates(spark, entries, options)
+    if options != ScanOptions():
+        # rules that could only yield filtered-out findings are not evaluated on any line;
+        # the collected keys are those of the catalogue, never of the data
+        keys = {row["match_key"] for row in templates.select("match_key").distinct().collect()}
+    active = frozenset(keys if only is None else keys & set(only))
     files = enrich.language_filter(files, options.languages)
     if options.includes:
         files = files.filter(paths.matches_any_glob(F.col("path"), options.includes))
 
     parts = []
-    table = rules.catalogue(spark, [e for e in entries if e["key"] in active])
+    table = rules.broadcast_templates(templates, 4 * len(entries))
     for batch in rules.batches(rules.line_rules(active, custom)):
         languages = sorted({language for rule in batch for language in rule.languages})
         lines = candidate_lines(files.filter(F.col("language").isin(*languages)), batch, options)
-        matches = rules.line_matches(lines, batch, active, KEEP)
+        matches = rules.line_matches(lines, batch, active, [*KEEP, "path_surface"])
         parts.append(rules.to_findings(matches, table, framework))
     if function_rules and (only is None or AUTHZ_KEY in set(only)):
         functions = authz.functions_without_control(
             files, options.max_snippet_lines, options.snippets, options.redact)
-        parts.append(authz.to_findings(functions, framework))
+        found = authz.to_findings(functions, framework)
+        parts.append(found.transform(enrich.enrich).transform(enrich.apply_filters, options))
     if not parts:
-        raise ValueError("no rule selected")
+        return spark.createDataFrame([], FINDINGS)
     findings = parts[0]
     for part in parts[1:]:
         findings = findings.unionByName(part)
-    return findings.transform(enrich.enrich).transform(enrich.apply_filters, options)
+    return findings
 
 
 def scan_files(

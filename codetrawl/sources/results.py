@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import ids
 from ..functions import text as tx
+from ..functions.sqltext import lit
 from ..operators.rules import finding_columns
 from ..schema import FINDINGS
 
@@ -81,39 +82,26 @@ def to_findings(results: DataFrame) -> DataFrame:
     seq_file, seq_pos, where path, line and cwes are normal already.
     """
     tool, rule, title, path, line = (F.col(c) for c in ("tool", "rule", "title", "path", "line"))
-    score = confidence_score(F.col("confidence"))
-    high = score >= 80
-    hidden = tx.redact(F.col("message"))
-    return results.select(*finding_columns(
-        repo=F.col("repo"),
-        id=ids.external_id(tool, rule, path, line, title),
-        rule_id=F.concat_ws(".", F.lit("EXT"), F.upper(tool), rule),
-        title=F.when(title == "", F.concat(tool, F.lit(" result "), rule)).otherwise(title),
-        description=hidden,
-        category=F.lit("external_tool"),
-        subcategory=F.lit("imported-result"),
-        language=F.lit("unknown"),
-        classification=F.when(high, F.lit("high_confidence_candidate")).otherwise(F.lit("review_lead")),
-        confidence_score=score,
-        suggested_severity=normal_severity(F.col("severity")),
-        cwe_ids=F.col("cwes"),
-        file_path=path,
-        start_line=line,
-        end_line=line,
-        evidence=hidden,
-        analyzer=F.concat(F.lit("external."), tool),
-        external_tool=tool,
-        external_rule_id=rule,
-        verdict_candidate=F.when(high, F.lit("high_confidence_candidate")).otherwise(F.lit("secure_coding_concern")),
-        parser_used=F.lit("external-result"),
-        sink=F.lit(fv.IMPORT_SINK),
-        sink_detected=F.lit(True),
-        flow_status=F.lit("sink_only"),
-        proof_gaps=F.array(F.lit(fv.IMPORT_GAP)),
-        recommended_verification_steps=F.array(F.lit(fv.IMPORT_VERIFY)),
-        emit_seq=F.struct(F.lit(1).alias("origin"), F.col("seq_file").alias("file"), F.lit(0).alias("phase"),
-                          F.col("seq_pos").cast("long").alias("pos"), F.lit(0).alias("ord")),
-    ))
+    prepared = results.withColumns({
+        "score": confidence_score(F.col("confidence")),
+        "hidden": tx.redact(F.col("message")),
+        "level": normal_severity(F.col("severity")),
+        "stable": ids.external_id(tool, rule, path, line, title),
+    })
+    return prepared.selectExpr(*finding_columns(dict(
+        repo="repo", id="stable", rule_id="concat_ws('.', 'EXT', upper(tool), rule)",
+        title="if(title = '', concat(tool, ' result ', rule), title)", description="hidden",
+        category="'external_tool'", subcategory="'imported-result'", language="'unknown'",
+        classification="if(score >= 80, 'high_confidence_candidate', 'review_lead')",
+        confidence_score="score", suggested_severity="level", cwe_ids="cwes", file_path="path", start_line="line",
+        end_line="line", evidence="hidden", analyzer="concat('external.', tool)", external_tool="tool",
+        external_rule_id="rule",
+        verdict_candidate="if(score >= 80, 'high_confidence_candidate', 'secure_coding_concern')",
+        parser_used="'external-result'", sink=lit(fv.IMPORT_SINK).text, sink_detected="true",
+        flow_status="'sink_only'", proof_gaps=f"array({lit(fv.IMPORT_GAP).text})",
+        recommended_verification_steps=f"array({lit(fv.IMPORT_VERIFY).text})",
+        emit_seq="named_struct('origin', 1, 'file', seq_file, 'phase', 0, 'pos', cast(seq_pos as bigint), 'ord', 0)",
+    )))
 
 
 # --- readers ------------------------------------------------------------------------------------

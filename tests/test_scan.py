@@ -1,0 +1,185 @@
+"""Scans of small files whose findings are known."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from codetrawl import ScanOptions, scan_files
+from codetrawl.operators.rules import CustomRule
+from codetrawl.plans.scan import local_findings
+
+
+def rules_of(findings):
+    return {(r.file_path, r.start_line, r.rule_id.removeprefix("WB.")) for r in findings.collect()}
+
+
+VULNERABLE_PY = """import subprocess
+def load(user):
+    query = "SELECT * FROM u WHERE id=" + user
+    subprocess.run(query, shell=True)
+    requests.get(user, verify=False)
+password = "correct-horse-9"
+pickle.loads(blob)
+jwt.decode(raw)
+"""
+JAVA_BAD = """class A {
+  void a(HttpServletRequest request, MultipartFile f) {
+    logger.info("h " + authorization);
+    new BasicAWSCredentials("ACCESSKEYACCESSKEY", "SECRETSECRET");
+    Runtime.getRuntime().exec(request.getParameter("c"));
+    db.executeQuery("SELECT * FROM t WHERE id=" + request.getParameter("id"));
+    f.transferTo(new File(f.getOriginalFilename()));
+    new FileInputStream(request.getParameter("p"));
+    in.readObject();
+  }
+}
+"""
+JAVA_FALSE = '''/** Runtime.getRuntime().exec(x); readObject() */
+class D {
+  String filename;
+  void a() { logger.info("encrypted " + encrypt(password)); }
+  void b() { logger.info("SELECT password FROM t"); }
+  void c() { Files.write(csv, rows); }
+  void d() { logger.info("t " + token); }
+}
+'''
+JAVA_SAFE = '''class S {
+  void a() { PreparedStatement p = c.prepareStatement("select * from t where a=?"); p.execute(); }
+  void b() { Path q = base.resolve(name).normalize(); }
+  void c() { logger.info("ends " + token.substring(8)); }
+}
+'''
+JS_BAD = """const upload = multer();
+fs.writeFile(req.file.originalname, req.file.buffer, cb);
+eval(req.query.code);
+
+db.query("SELECT * FROM t WHERE id=" + req.query.id);
+fetch(req.query.url);
+node.innerHTML = text;
+const jwt_secret = "abcdefghijklmnop";
+"""
+JS_FALSE = """// eval(req.query.code)
+const text = "eval(req.query.code)";
+const m = /exec/.exec(value);
+const p = { password: process.env.PASSWORD_VALUE };
+formData.append("f", file);
+console.log(token ? "exists" : "missing");
+"""
+
+
+def test_python(source):
+    found = rules_of(scan_files(source(("app.py", VULNERABLE_PY))))
+    assert found == {
+        ("app.py", 3, "SQL.RAW_CONSTRUCTION"), ("app.py", 4, "EXEC.DYNAMIC"),
+        ("app.py", 5, "CRYPTO.TLS_VERIFY_DISABLED"), ("app.py", 5, "SSRF.OUTBOUND_REQUEST"),
+        ("app.py", 5, "DOS.TIMEOUT"), ("app.py", 6, "SECRET.HARDCODED"),
+        ("app.py", 7, "DESERIALIZATION.UNSAFE"), ("app.py", 8, "JWT.DECODE_UNVERIFIED"),
+    }
+
+
+def test_java(source):
+    found = scan_files(source(("x/Bad.java", JAVA_BAD), ("x/False.java", JAVA_FALSE), ("x/Safe.java", JAVA_SAFE)))
+    rows = rules_of(found)
+    assert {r for p, _, r in rows if p == "x/Bad.java"} >= {
+        "EXEC.DYNAMIC", "SQL.RAW_CONSTRUCTION", "UPLOAD.UNSAFE", "FILE.PATH_INPUT", "DESERIALIZATION.UNSAFE",
+        "LOG.SENSITIVE_DATA", "SECRET.HARDCODED"}
+    assert {(n, r) for p, n, r in rows if p == "x/False.java"} == {(7, "LOG.SENSITIVE_DATA")}
+    assert not {r for p, _, r in rows if p == "x/Safe.java"}
+    assert "ACCESSKEYACCESSKEY" not in str(found.collect())
+
+
+def test_javascript(source):
+    found = scan_files(source(("bad.js", JS_BAD), ("ok.js", JS_FALSE)))
+    rows = rules_of(found)
+    assert {r for p, _, r in rows if p == "bad.js"} >= {
+        "UPLOAD.UNSAFE", "UPLOAD.ORIGINAL_FILENAME", "EXEC.DYNAMIC", "SECRET.HARDCODED", "SQL.RAW_CONSTRUCTION",
+        "SSRF.OUTBOUND_REQUEST", "WEB.UNSAFE_RENDER"}
+    quiet = found.filter("file_path = 'ok.js'").collect()
+    assert {r.rule_id for r in quiet} == {"WB.UPLOAD.CLIENT_CAPABILITY", "WB.LOG.SENSITIVE_DATA"}
+    assert {r.verdict_candidate for r in quiet} == {"review_point"}
+
+
+def test_go_call_and_log(source):
+    text = 'package m\n// exec.Command(x)\nvar s = "exec.Command(x)"\nfunc f() {\n  exec.Command(x)\n' \
+           '  logger.Info("token missing")\n  zap.String("k", token)\n}\n'
+    found = rules_of(scan_files(source(("m.go", text))))
+    assert found == {("m.go", 5, "EXEC.DYNAMIC"), ("m.go", 7, "LOG.SENSITIVE_DATA")}
+
+
+def test_utility_upload_and_test_secret(source):
+    upload = "class U {\n  void a(MultipartFile file) {\n    file.transferTo(destination);\n  }\n}\n"
+    secret = 'class T {\n  Object c = new BasicAWSCredentials("ACCESSKEY1", "SECRETKEY1");\n}\n'
+    found = scan_files(source(("src/main/java/util/U.java", upload), ("src/test/java/T.java", secret)))
+    by_path = {r.file_path: r for r in found.collect()}
+    assert by_path["src/main/java/util/U.java"].verdict_candidate == "informational_inventory"
+    assert by_path["src/main/java/util/U.java"].cwe_ids == []
+    assert by_path["src/test/java/T.java"].suggested_severity == "low"
+    assert by_path["src/test/java/T.java"].verdict_candidate == "high_confidence_candidate"
+
+
+@pytest.mark.parametrize("line", [
+    'String AWS_ACCESS_KEY_ID = "abcdefgh1";', 'String AWS_SECRET_ACCESS_KEY="abcdefgh2";',
+    'String p = "-----BEGIN PRIVATE KEY-----";'])
+def test_java_literals(source, line):
+    assert rules_of(scan_files(source(("A.java", f"{line}\n")))) == {("A.java", 1, "SECRET.HARDCODED")}
+
+
+def test_secret_assignment_needs_code(source):
+    lines = ['String a = "token=" + value;', 'String token = "short";', 'String token = "longenough" + x;',
+             "char c = '\"'; String secret = \"abcdefgh\";", 'String b = "x \\" token = \\"abcdefghij"; ']
+    found = rules_of(local_findings(source(("A.java", "\n".join(lines)))))
+    assert found == {("A.java", 4, "SECRET.HARDCODED")}
+
+
+def test_functions_without_control(source):
+    text = ("def delete_user(\n    a,\n):\n    return 1\n\ndef update(x):\n    validate(x)\n"
+            "class A:\n    def admin(self):\n        def login(y):\n            return y\n        check_role(self)\n"
+            "def transfer():\n    pass")
+    found = local_findings(source(("a.py", text)), only={"r_py_authz"})
+    assert {(r.start_line, r.function) for r in found.collect()} == {(1, "delete_user"), (10, "login"), (13, "transfer")}
+
+
+def test_shadowed_secret_comes_back_when_the_later_one_is_filtered(source):
+    line = 'String token = "longenough"; Object c = new BasicAWSCredentials("aaaaaaaa", "bbbbbbbb");\n'
+    files = source(("src/test/A.java", line))
+    (row,) = scan_files(files).collect()
+    assert row.confidence_score == 96 and row.suggested_severity == "low"
+    (row,) = scan_files(files, ScanOptions(severities=("high",))).collect()
+    assert row.confidence_score == 86
+
+
+def test_ids_do_not_depend_on_partitions(source):
+    files = source(*[(f"d{i}/a.py", VULNERABLE_PY) for i in range(9)])
+    ids = [sorted(r.id for r in scan_files(files.repartition(n)).select("id").collect()) for n in (1, 7, 64)]
+    assert ids[0] == ids[1] == ids[2] and len(set(ids[0])) == len(ids[0])
+
+
+def test_snippets_and_redaction(source):
+    files = source(("a.py", 'password = "hunter2hunter2"\n'))
+    (row,) = scan_files(files).collect()
+    assert row.evidence == "password=hun********r2"
+    assert scan_files(files, ScanOptions(snippets=False)).first().evidence == ""
+
+
+def test_custom_rules_more_than_one_mask_holds(source):
+    custom = [CustomRule(f"X.R{i}", rf"\bmark{i}\b", f"mark {i}", "custom", "low", 50, ("CWE-1",)) for i in range(70)]
+    files = source(("a.py", "mark3 mark69\nmark68\n"))
+    assert rules_of(scan_files(files, custom_rules=custom)) == {
+        ("a.py", 1, "X.R3"), ("a.py", 1, "X.R69"), ("a.py", 2, "X.R68")}
+
+
+def test_long_literals_do_not_overflow_the_matcher(source):
+    text = 'class A { String a = "' + "\\\\x" * 120_000 + '"; /* ' + "* " * 120_000 + ' */ Object r = new Random(); }'
+    found = rules_of(local_findings(source(("A.java", text)), only={"j_random"}))
+    assert found == {("A.java", 1, "RANDOM.PREDICTABLE")}
+
+
+def test_streaming_equals_batch(spark, source, tmp_path):
+    from codetrawl.streaming.scan_stream import stream_findings, write_findings
+
+    files = source(("a.py", VULNERABLE_PY), ("x/A.java", JAVA_BAD))
+    files.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(files.schema).parquet(str(tmp_path / "in"))
+    write_findings(stream_findings(stream), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    got = {(r.id, r.root_cause_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {(r.id, r.root_cause_id) for r in scan_files(files).filter(F.col("analyzer") != "python.ast").collect()}
+    assert got == want and got
