@@ -18,6 +18,9 @@ from ..functions import text as tx
 # and the full set is in the callers table.
 INLINE_CALLERS = 10_000
 
+# A shorter name is never followed by a parenthesis, so the name can be taken without backtracking.
+_CALL = tx.pattern(fv.CALL.replace("]*)", "]*+)"))
+
 
 def declared_name(line: Column, language: Column) -> Column:
     """Name declared on a line, null when there is none.
@@ -74,7 +77,7 @@ def _calls(lines: Column, name: Column) -> Column:
     The lines are joined by a character that is neither a space nor part of a name, so that
     no call can reach over a line end.
     """
-    called = F.regexp_extract_all(F.array_join(lines, ";"), F.lit(tx.pattern(fv.CALL)), F.lit(1))
+    called = F.regexp_extract_all(F.array_join(lines, ";"), F.lit(_CALL), F.lit(1))
     return F.array_remove(F.array_distinct(called), name)
 
 
