@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .line_dedup import drop_site_lines
 from .oracle import ORACLE  # noqa: F401
+from .simhash import near_duplicates
 from .url_filter import url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,11 @@ URL_RULES = [
 ]
 
 
+def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_verdicts(table(spark, sf, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -38,6 +44,7 @@ def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_simhash": op4_simhash,
     "op6_url_filter": op6_url_filter,
     "op9_line_dedup": op9_line_dedup,
 }
