@@ -56,3 +56,23 @@ SELECT doc_id, source, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) A
        CASE WHEN text IS NULL THEN NULL ELSE sha256(kept) END AS kept_sha256
 FROM d LEFT JOIN kept USING (rid)
 """
+
+_WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE["op1_decontaminate"] = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS.format(text='text')}, []) AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format(text='text')} AS w FROM benchmark WHERE text IS NOT NULL),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS said
+  FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM win),
+runs AS (
+  SELECT rid, size, p, array_to_string(w[p:p + size - 1], ' ') AS said
+  FROM (SELECT rid, size, w, unnest(range(1, len(w) - size + 2)) AS p FROM d, sizes WHERE len(w) >= size)
+), hits AS (SELECT rid, size, p, item_id FROM runs JOIN win USING (size, said)),
+words AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + size)) AS q FROM hits) GROUP BY rid),
+items AS (SELECT rid, list_sort(list(DISTINCT item_id::VARCHAR) FILTER (WHERE item_id IS NOT NULL)) AS items FROM hits GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+       sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""

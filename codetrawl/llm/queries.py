@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .line_dedup import drop_site_lines
 from .oracle import ORACLE  # noqa: F401
 from .simhash import near_duplicates
@@ -29,6 +30,11 @@ URL_RULES = [
 ]
 
 
+def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    found = contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,6 +50,7 @@ def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontaminate": op1_decontaminate,
     "op4_simhash": op4_simhash,
     "op6_url_filter": op6_url_filter,
     "op9_line_dedup": op9_line_dedup,

@@ -86,12 +86,10 @@ def text_batches(rows: pa.RecordBatch, column: str, most_bytes: int) -> Iterator
 
 # -- rolling hashes over the bytes of many texts -----------------------------------------------------------------------
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
 
 
 def _powers(base: int, count: int) -> np.ndarray:
-    out = np.full(count, base, dtype=np.uint64)
+    out = np.full(count, np.uint64(base), dtype=np.uint64)
     if count:
         out[0] = 1
     return np.multiply.accumulate(out)
@@ -114,7 +112,7 @@ class Rolling:
 
     def __init__(self, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1, 1 << 62)) * 8 + 5
+        self.base = int(rng.integers(1, 1 << 60)) * 8 + 5
         self.inverse = pow(self.base, -1, 1 << 64)
         self.table = rng.integers(0, 1 << 64, size=256, dtype=np.uint64)
         self.up = self.down = np.zeros(0, dtype=np.uint64)
