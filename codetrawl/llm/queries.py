@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .line_dedup import drop_site_lines
 from .oracle import ORACLE  # noqa: F401
+from .packing import pack
 from .simhash import near_duplicates
 from .url_filter import url_verdicts
 
@@ -44,6 +46,10 @@ def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_verdicts(table(spark, sf, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = drop_site_lines(table(spark, sf, "documents"))
     return docs.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -53,5 +59,6 @@ QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_simhash": op4_simhash,
     "op6_url_filter": op6_url_filter,
+    "op7_packing": op7_packing,
     "op9_line_dedup": op9_line_dedup,
 }
