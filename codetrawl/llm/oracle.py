@@ -76,3 +76,32 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(item
        sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
+
+ORACLE["op8_quality_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), places AS (SELECT rid, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3),
+windows AS (SELECT rid, p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS said FROM places),
+often AS (SELECT rid, said FROM windows GROUP BY rid, said HAVING count(*) > 1),
+repeats AS (
+  SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest([p, p + 1, p + 2]) AS q FROM windows SEMI JOIN often USING (rid, said)) GROUP BY rid
+), lines AS (
+  SELECT rid, count(*) AS n, count(*) - count(DISTINCT line) AS again
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid
+), words AS (
+  SELECT rid, max(n) AS most, sum(n) FILTER (WHERE regexp_matches(said, '\p{L}')) AS named
+  FROM (SELECT rid, said, count(*) AS n FROM (SELECT rid, unnest(w) AS said FROM d) GROUP BY rid, said) GROUP BY rid
+), counts AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.again, 0) AS n_dup_lines,
+         coalesce(repeats.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines, coalesce(most, 0) AS most, coalesce(named, 0) AS named,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters
+  FROM d LEFT JOIN repeats USING (rid) LEFT JOIN lines USING (rid) LEFT JOIN words USING (rid)
+), based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 7 * n_lines OR word_chars < 2 * n_words
+            OR word_chars > 15 * n_words OR 10 * named < 6 * n_words OR 2 * capitals > letters OR 10 * most > 3 * n_words) AS kept
+FROM based
+"""
