@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .language_id import held_out, predict, train
 from .line_dedup import drop_site_lines
 from .oracle import ORACLE  # noqa: F401
 from .packing import pack
+from .quality_rules import judge
 from .simhash import near_duplicates
 from .url_filter import url_verdicts
 
@@ -42,6 +44,11 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return predict(docs, train(docs), keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return url_verdicts(table(spark, sf, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -50,6 +57,10 @@ def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return judge(table(spark, sf, "documents"), keep=["doc_id"]).drop("rejected_by")
+
+
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = drop_site_lines(table(spark, sf, "documents"))
     return docs.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -58,7 +69,9 @@ def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_simhash": op4_simhash,
+    "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
     "op7_packing": op7_packing,
+    "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
 }
