@@ -16,60 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Rolling, Stored, mixed, text_batches
+from .shared import Rolling, Stored, Words, text_batches
 
 BLOCK_BYTES = 1 << 20
 FILTER_BITS = 23  # one megabyte in each task, whatever the size of the benchmark; a full filter passes everything on
-STEP = np.uint64(0xD6E8FEB86659FD93)
-
-# fixed values: digits, A to Z in lower case and everything beyond ASCII are part of words
-_WORD = np.zeros(256, dtype=bool)
-_WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
-
-
-class Words:
-    """The words of some texts: `data` in lower case, byte ranges, hashes and the text of each word."""
-
-    def __init__(self, rolling: Rolling, texts: list[bytes]):
-        self.data = b" ".join(texts).lower()
-        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-        first = np.cumsum(sizes + 1) - sizes - 1
-        parts = [self._segment(rolling, i, j) for i, j in self._segments()]
-        self.starts, self.ends, self.hashes = (np.concatenate(x) for x in zip(*parts))
-        self.owner = np.searchsorted(first, self.starts, side="right") - 1
-        self.bounds = np.searchsorted(self.owner, np.arange(len(texts) + 1))
-
-    def _segments(self) -> Iterator[tuple[int, int]]:
-        """Ranges of limited size that end between words; only a word beyond the limit makes a longer one."""
-        at = 0
-        while len(self.data) - at > 2 * BLOCK_BYTES:
-            end = at + BLOCK_BYTES
-            while end < len(self.data) and _WORD[self.data[end]]:
-                end += 1
-            yield at, end
-            at = end
-        yield at, len(self.data)
-
-    def _segment(self, rolling: Rolling, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        part = np.frombuffer(self.data, dtype=np.uint8, count=j - i, offset=i)
-        edges = np.diff(np.concatenate([[False], _WORD[part], [False]]).view(np.int8))
-        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        return starts + i, ends + i, rolling.at(rolling.sums(part), starts, ends)
-
-    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of all runs of `size` words within one text."""
-        count = len(self.hashes) - size + 1
-        if count <= 0:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        total = np.zeros(count, dtype=np.uint64)
-        for k in range(size):
-            total = total * STEP + self.hashes[k:k + count]
-        own = np.flatnonzero(self.owner[:count] == self.owner[size - 1:])
-        return own, mixed(total[own] + np.uint64(size))
-
-    def text(self, i: int, j: int) -> str:
-        return b" ".join(self.data[a:b] for a, b in zip(self.starts[i:j], self.ends[i:j])).decode("utf-8", "replace")
-
 
 def item_windows(items: DataFrame, *, id: str, text: str, window: int, shingle: int) -> DataFrame:  # noqa: A002
     """(item_id, window, size, at, token): every shingle of every window, `at` words behind its start."""

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality_classifier
 from .decontaminate import contamination
 from .language_id import held_out, predict, train
 from .line_dedup import drop_site_lines
@@ -39,6 +40,12 @@ def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    rated = labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade"))
+    return quality_classifier.grade(docs, quality_classifier.train(docs, rated), keep=["doc_id"])
+
+
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -68,6 +75,7 @@ def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_simhash": op4_simhash,
     "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
