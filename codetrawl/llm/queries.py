@@ -15,6 +15,7 @@ from .line_dedup import drop_site_lines
 from .oracle import ORACLE  # noqa: F401
 from .packing import pack
 from .quality_rules import judge
+from .sharding import shard_documents
 from .simhash import near_duplicates
 from .url_filter import url_verdicts
 
@@ -46,6 +47,10 @@ def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality_classifier.grade(docs, quality_classifier.train(docs, rated), keep=["doc_id"])
 
 
+def op3_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return shard_documents(table(spark, sf, "documents"), keep=["doc_id"])
+
+
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -76,6 +81,7 @@ def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
     "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
