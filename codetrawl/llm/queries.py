@@ -17,6 +17,7 @@ from .packing import pack
 from .quality_rules import judge
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .suffix_dedup import without_repeats
 from .url_filter import url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +74,10 @@ def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judge(table(spark, sf, "documents"), keep=["doc_id"]).drop("rejected_by")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return without_repeats(table(spark, sf, "documents"), keep=["doc_id"], digest=True)
+
+
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = drop_site_lines(table(spark, sf, "documents"))
     return docs.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -87,5 +92,6 @@ QUERIES: dict[str, Query] = {
     "op6_url_filter": op6_url_filter,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op10_suffix_dedup": op10_suffix_dedup,
     "op9_line_dedup": op9_line_dedup,
 }
