@@ -80,11 +80,30 @@ def near_patterns(value: Column) -> Column:
     return F.transform(bits, lambda b: value.bitwiseXOR(b))
 
 
+def in_company(dealt: DataFrame) -> DataFrame:
+    """The fp of rows (cell, fp) whose cell holds another row; one shuffle and a sort, of which a task sees a batch at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = fp = None  # the row before this batch
+        for batch in batches:
+            cells, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(cells):
+                continue
+            same = np.zeros(len(cells) + 1, dtype=bool)  # is row i of the cell of row i - 1
+            same[1:-1] = cells[1:] == cells[:-1]
+            same[0] = cell is not None and cell == cells[0]
+            found = fps[same[:-1] | same[1:]]
+            if same[0]:
+                found = np.append(found, fp)
+            cell, fp = cells[-1], fps[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(found))], names=["fp"])
+
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "fp long").distinct()
+
+
 def links(values: DataFrame, store: Stored) -> DataFrame:
     """(a, b) so that the components of these links are those of all pairs of distinct `fp` within two bits."""
-    dealt = values.select("fp", F.explode(F.array_distinct(F.transform(near_patterns(F.col("fp")), embedded))).alias("cell"))
-    shared = dealt.groupBy("cell").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most")
-    members = dealt.join(shared.select("cell"), "cell", "left_semi").select("fp").distinct()
+    dealt = values.select(F.explode(F.array_distinct(F.transform(near_patterns(F.col("fp")), embedded))).alias("cell"), "fp")
+    members = store.put(in_company(dealt))
     met = members.select("fp", F.explode(near_patterns(F.col("fp"))).alias("pattern"))
     centre = met.groupBy("pattern").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most")
     return (met.join(centre.select("pattern", "least"), "pattern").where("fp <> least")
