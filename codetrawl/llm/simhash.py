@@ -111,7 +111,7 @@ def links(values: DataFrame, store: Stored) -> DataFrame:
 
 
 def near_groups(prints: DataFrame, *, id: str = "doc_id", name: str = "fingerprint") -> DataFrame:  # noqa: A002
-    """(fp, component_id, least): for each fingerprint the smallest id of its component, and that of its own rows.
+    """(fp, root, component_id): for each fingerprint its component (a fingerprint) and the smallest id in it.
 
     Ids that are null name no component unless all of its ids are null.
     """
@@ -120,7 +120,7 @@ def near_groups(prints: DataFrame, *, id: str = "doc_id", name: str = "fingerpri
     roots = connected_components(links(values, store), store).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     linked = store.put(values.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return linked.join(least, "root").select("fp", "component_id", "least")
+    return linked.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:  # noqa: A002
