@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetrawl.functions import paths
-from codetrawl.sources.files import spread
+from codetrawl.sources.files import spread_few
 
 LANGUAGES = ("python", "javascript", "typescript", "java", "go")
 EXTENSIONS = (".py", ".js", ".ts", ".java", ".go")
@@ -274,7 +274,7 @@ def _escaped(text):
 
 def files(spark: SparkSession, sf_dir: str, snapshot: str | None = None) -> DataFrame:
     """The source_files table of the corpus; ``snapshot`` is None, 'old' or 'new'."""
-    docs = documents(spark, sf_dir)
+    docs = spread_few(documents(spark, sf_dir), "doc_id")
     if snapshot == "old":
         docs = docs.filter(F.col("doc_id") % 11 != 0)
     elif snapshot == "new":
@@ -291,11 +291,11 @@ def files(spark: SparkSession, sf_dir: str, snapshot: str | None = None) -> Data
                       F.replace(body, F.lit("\n" + CHANGED_FROM), F.lit("\n" + CHANGED_TO))).otherwise(body)
     body = F.replace(body, F.lit("@LITERAL@"), _escaped(F.col("text")))
     body = F.replace(body, F.lit("@COMMENT@"), comment)
-    return spread(docs.select(
+    return docs.select(
         F.col("lang").alias("repo"), path.alias("path"), _pick(kind, LANGUAGES).alias("language"),
         body.alias("text"), F.octet_length(body).cast("long").alias("size"),
         paths.surface_of(path).alias("code_surface"),
-    ))
+    )
 
 
 def _sql(text: str) -> str:

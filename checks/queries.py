@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetrawl import ScanOptions, scan_files
+from codetrawl import Kept, ScanOptions, Sources, scan_files
 from codetrawl import fixed_values as fv
 from codetrawl.functions import paths
 from codetrawl.functions import text as tx
@@ -125,7 +125,7 @@ def _names_sql(names) -> str:
     return "[" + ", ".join(q(n) for n in names) + "]"
 
 
-def _reason_sql(excludes=(), ignored=None, size: int = fv.MAX_FILE_BYTES) -> str:
+def _reason_sql(excludes=(), ignored=None, size: int = 2**62) -> str:
     named = f"list_has_any(string_split(d, '/'), {_names_sql(fs.excluded_names(excludes))})"
     test = f"list_has_any(string_split(lower(d), '/'), {_names_sql(fv.TEST_PARTS)})"
     if ignored:
@@ -175,16 +175,16 @@ add("src_walk", _walk, f"""
 add("src_language", lambda s, sf: listing(s, sf).select(
     "repo", "path", paths.language_of(F.col("path")).alias("language")).filter(F.col("language").isNotNull()),
     f"WITH {_listing_sql()} SELECT repo, path, language FROM typed WHERE language IS NOT NULL")
-add("src_skip", lambda s, sf: fs.skipped_files(fs.classify(listing(s, sf), ScanOptions(max_file_size=SMALL))),
+add("src_skip", lambda s, sf: fs.skipped_files(fs.classify(listing(s, sf), ScanOptions(Sources(largest=SMALL)))),
     f"WITH {_listing_sql()}, {_reason_sql(size=SMALL)} {_SKIPPED_SQL}")
 add("src_exclude_dirs", lambda s, sf: fs.source_files(
-    fs.classify(listing(s, sf), ScanOptions(excludes=("demo", "src3")))).select("repo", "path", "language", "size"),
+    fs.classify(listing(s, sf), ScanOptions(Sources(pruned=("demo", "src3"))))).select("repo", "path", "language", "size"),
     f"WITH {_listing_sql()}, {_reason_sql(('demo', 'src3'))} {_SCANNED_SQL}")
 
 
 def _gitignored(spark: SparkSession, sf: str) -> DataFrame:
     raw = listing(spark, sf)
-    options = ScanOptions(respect_gitignore=True)
+    options = ScanOptions(Sources(ignore_file=True))
     return fs.source_files(fs.classify(raw, options, fs.ignore_items(raw))).select("repo", "path", "language", "size")
 
 
@@ -475,7 +475,7 @@ add("ln_redact", lambda s, sf: documents(s, sf).select("doc_id", tx.redact(F.col
         SELECT conv_id * 1000 + turn + 1000000000, {redact_sql('text')} FROM conversations UNION ALL
         SELECT doc_id, {redact_sql('text')} FROM f""")
 add("ln_trim_evidence", lambda s, sf: raw_lines(documents(s, sf).select("doc_id", "text")).select(
-    "doc_id", F.col("line_no").cast("bigint").alias("line_no"), tx.trimmed_evidence(F.col("raw")).alias("evidence")),
+    "doc_id", F.col("line_no").cast("bigint").alias("line_no"), tx.trimmed_evidence(F.col("raw"), fv.EVIDENCE_CHARS).alias("evidence")),
     f"""WITH a AS (SELECT doc_id, {oracle.lines_of('text')} AS l FROM documents),
         b AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS n, unnest(l) AS raw FROM a)
         SELECT doc_id, n::BIGINT AS line_no, substring(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), 1, 300) AS evidence
@@ -617,7 +617,7 @@ def _picked(*columns) -> Callable[[DataFrame], DataFrame]:
 
 
 add("scan_all", _scan(), findings_sql())
-add("p_lang_filter", _scan(ScanOptions(languages=("go", "java"))),
+add("p_lang_filter", _scan(ScanOptions(Sources(languages=("go", "java")))),
     findings_sql(where="language IN ('go', 'java')"))
 add("p_rule_family", _scan(select=_picked("rule_family")),
     findings_sql(columns="repo, file_path, rule_id, id, rule_family"))
@@ -646,8 +646,8 @@ add("p_score", _scan(select=_picked(
     invoked::INT::BIGINT AS actual_invocation_confirmed, (NOT test_only)::INT::BIGINT AS production_surface,
     (len(proof_gaps) > 0)::INT::BIGINT AS runtime_dependency_remaining"""))
 _SECRET = "rule_id = 'WB.SECRET.HARDCODED'"
-add("p_production_only", _scan(ScanOptions(production_only=True)), findings_sql(where=f"NOT test_only OR {_SECRET}"))
-add("p_test_filter", _scan(ScanOptions(include_test_review_points=False)),
+add("p_production_only", _scan(ScanOptions(kept=Kept(test_code="none"))), findings_sql(where="NOT test_only"))
+add("p_test_filter", _scan(ScanOptions(kept=Kept(test_code="secrets"))),
     findings_sql(where=f"NOT test_only OR {_SECRET}"))
 
 
@@ -658,11 +658,11 @@ def _filtered_sql(condition: str) -> str:
 
 
 _TYPES = ("review_point", "high_confidence_candidate")
-add("p_result_types", _scan(ScanOptions(result_types=_TYPES)), _filtered_sql(in_list("verdict_candidate", _TYPES)))
-add("p_min_evidence", _scan(ScanOptions(minimum_evidence_level=2)), _filtered_sql("evidence_level >= 2"))
+add("p_result_types", _scan(ScanOptions(kept=Kept(verdicts=_TYPES))), _filtered_sql(in_list("verdict_candidate", _TYPES)))
+add("p_min_evidence", _scan(ScanOptions(kept=Kept(evidence=2))), _filtered_sql("evidence_level >= 2"))
 _LEVELS = ("high", "informational")
-add("p_severities", _scan(ScanOptions(severities=_LEVELS)), _filtered_sql(in_list("suggested_severity", _LEVELS)))
-add("p_min_confidence", _scan(ScanOptions(min_confidence=80)), _filtered_sql("confidence_score >= 80"))
+add("p_severities", _scan(ScanOptions(kept=Kept(severities=_LEVELS))), _filtered_sql(in_list("suggested_severity", _LEVELS)))
+add("p_min_confidence", _scan(ScanOptions(kept=Kept(confidence=80))), _filtered_sql("confidence_score >= 80"))
 
 
 def _dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -689,7 +689,7 @@ _REVIEW = in_list("verdict_candidate", fv.REVIEW_VERDICTS)
 add("p_review_exit", lambda s, sf: enrich.review_exit(local_findings(corpus.files(s, sf))).select(
     flag("has_candidates")),
     f"WITH {findings_ctes()} SELECT coalesce(max(({_CANDIDATE})::INT), 0)::BIGINT AS has_candidates FROM findings")
-_NOMINAL = ScanOptions(exclude_inventory=True, show_review_points=False)
+_NOMINAL = ScanOptions(kept=Kept(hidden=("suppressed", "informational_inventory", "review_point")))
 add("p_nominal_filters", lambda s, sf: view(enrich.nominal_filters(local_findings(corpus.files(s, sf)), _NOMINAL)),
     findings_sql(where="verdict_candidate NOT IN ('suppressed', 'informational_inventory', 'review_point')"))
 
@@ -757,14 +757,15 @@ add("d_inventory", _inventory, f"""WITH {_listing_sql()}, {_reason_sql()}, {_MAN
 def _framework_filter(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus.files(spark, sf)
     kept = enrich.framework_filter(inventory.frameworks(files), ("Flask", "Express", "Axios"))
-    found = enrich.with_framework(local_findings(files, only={"r_secret", "j_tls"}), kept)
+    found = enrich.with_framework(local_findings(files), kept)
     return found.select("repo", "file_path", "rule_id", "id", "framework")
 
 
-add("p_framework_filter", _framework_filter, f"""WITH {findings_ctes(frozenset({'r_secret', 'j_tls'}), authz=False)},
+add("p_framework_filter", _framework_filter, f"""WITH {findings_ctes()},
     fw AS ({_frameworks_sql('files')}),
     first AS (SELECT repo, min(framework) AS framework FROM fw WHERE framework IN ('Flask', 'Express', 'Axios') GROUP BY repo)
-    SELECT f.repo, file_path, rule_id, id, CASE WHEN family = 'generic' THEN first.framework END AS framework
+    SELECT f.repo, file_path, rule_id, id, CASE WHEN family = 'generic' AND rule_id <> {q(fv.AUTHZ_RULE[1])}
+        THEN first.framework END AS framework
     FROM findings f LEFT JOIN first USING (repo)""")
 
 # --- aggregations ------------------------------------------------------------------------------------
@@ -887,7 +888,7 @@ def _routes_sql() -> str:
     return f"""{_graph_sql()}, fw AS ({_frameworks_sql('files')}),
     routed AS MATERIALIZED (SELECT repo, path, n::BIGINT AS line_no, symbol, symbol_line, raw,
         upper({_route_sql(1, "'MAPPING'")}) AS method, {_route_sql(2, oracle.x('raw', fv.ROUTE_JAVA, 1))} AS route,
-        substring(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), 1, 300) AS evidence
+        regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS evidence
         FROM located WHERE {any_of('raw', fv.ROUTE_MARKERS)}),
     routes AS (SELECT r.*, (SELECT min(framework) FROM fw WHERE fw.repo = r.repo
                             AND contains(lower(r.raw), lower(fw.framework))) AS framework FROM routed r)"""
@@ -908,19 +909,21 @@ def _enriched_routes(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus.files(spark, sf)
     return graph.enrich_routes(files, inventory.frameworks(files)).select(
         "repo", "path", F.col("line_no").cast("bigint").alias("line_no"), "method", "route", "framework", "handler",
-        joined("related_callees"), joined("related_callers"), "caller_count", "graph_scope")
+        joined("related_callees"), "caller_count", "graph_scope")
 
 
 add("g_enrich_route", _enriched_routes, f"""WITH {_routes_sql()},
     callees AS (SELECT repo, path, symbol_line, string_agg(callee, ',' ORDER BY callee) AS related_callees FROM edges GROUP BY ALL),
-    callers AS (SELECT repo, callee AS handler, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS related_callers,
-                       count(DISTINCT symbol) AS caller_count FROM edges GROUP BY ALL)
+    callers AS (SELECT repo, callee AS handler, count(DISTINCT symbol) AS caller_count FROM edges GROUP BY ALL)
     SELECT r.repo, r.path, line_no, method, route, framework, symbol AS handler,
-           coalesce(related_callees, '') AS related_callees, coalesce(related_callers, '') AS related_callers,
+           coalesce(related_callees, '') AS related_callees,
            coalesce(caller_count, 0) AS caller_count,
            CASE WHEN symbol IS NULL THEN {q(fv.SCOPE_SYNTAX)} ELSE {q(fv.SCOPE_GRAPH)} END AS graph_scope
     FROM routes r LEFT JOIN callees c ON c.repo = r.repo AND c.path = r.path AND c.symbol_line = r.symbol_line
     LEFT JOIN callers k ON k.repo = r.repo AND k.handler = r.symbol""")
+add("g_route_callers", lambda s, sf: graph.route_callers(corpus.files(s, sf)), f"""WITH {_routes_sql()}
+    SELECT DISTINCT e.repo, callee AS handler, e.symbol AS caller FROM edges e
+    WHERE EXISTS (SELECT 1 FROM routes r WHERE r.repo = e.repo AND r.symbol = e.callee)""")
 
 # --- comparison -------------------------------------------------------------------------------------
 
@@ -991,14 +994,14 @@ add("cmp_summary_join", _summary_join, f"""WITH {findings_ctes()}, {_ROOTS_SQL}
 
 def _import_union(spark: SparkSession, sf: str) -> DataFrame:
     imported = results.semgrep(_semgrep_documents(spark, sf), "/work/app")
-    found = scan_files(corpus.files(spark, sf), ScanOptions(languages=("go",)), imported=imported)
+    found = scan_files(corpus.files(spark, sf), imported=imported)
     return found.select("repo", "id", "rule_id", "file_path", F.col("start_line").cast("bigint").alias("start_line"),
                         "verdict_candidate", "root_cause_id")
 
 
 add("cmp_import_union", _import_union, f"""WITH {findings_ctes()}, {_SEMGREP_SQL}, {_DEDUP_SQL}
     SELECT repo, id, rule_id, file_path, start_line::BIGINT AS start_line, verdict_candidate, root_cause_id
-    FROM findings WHERE language = 'go' UNION ALL
+    FROM findings UNION ALL
     SELECT repo, id, rule_id, file_path, start_line, verdict_candidate,
            'RC-' || upper(substr(sha256(rule_id || '|' || sink || '||'), 1, 12)) FROM dedup WHERE r = 1""")
 

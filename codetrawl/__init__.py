@@ -4,7 +4,7 @@ Files come in as a DataFrame, findings, root causes, routes, inventories and
 reports come out as DataFrames. See README.md for the layout.
 """
 
-from .options import ScanOptions
+from .options import Kept, Quotes, ScanOptions, Sources
 from .plans.scan import scan_files
 
-__all__ = ["ScanOptions", "scan_files"]
+__all__ = ["Kept", "Quotes", "ScanOptions", "Sources", "scan_files"]

@@ -149,9 +149,10 @@ def snippet(
     return _redact(value, fv.PEM_BLOCK_OPEN) if hide else value
 
 
-def trimmed_evidence(line: Column) -> Column:
-    """A line without surrounding white space, first 300 characters."""
-    return F.substring(F.regexp_replace(line, pattern(r"^\s+|\s+\z"), ""), 1, fv.EVIDENCE_CHARS)
+def trimmed_evidence(line: Column, characters: int | None = None) -> Column:
+    """A line without surrounding white space, whole or up to a number of characters."""
+    whole = F.regexp_replace(line, pattern(r"^\s+|\s+\z"), "")
+    return whole if characters is None else F.substring(whole, 1, characters)
 
 
 def contains_any(column: Column, words) -> Column:

@@ -79,40 +79,38 @@ def enrich(df: DataFrame) -> DataFrame:
 # --- filters ------------------------------------------------------------------------
 
 
-def production_only(df: DataFrame, options: ScanOptions) -> DataFrame:
-    if not options.production_only:
-        return df
-    secret = F.lit(options.include_test_secrets) & (F.col("rule_id") == "WB.SECRET.HARDCODED")
-    return df.filter(~F.col("test_only") | secret)
+_SECRET_RULE = "WB.SECRET.HARDCODED"
 
 
-def test_filter(df: DataFrame, options: ScanOptions) -> DataFrame:
-    if options.include_test_code or options.include_test_review_points:
+def test_code(df: DataFrame, options: ScanOptions) -> DataFrame:
+    """Findings in test code stay, stay if they are secrets, or go."""
+    if options.kept.test_code == "all":
         return df
-    return df.filter(~F.col("test_only") | (F.col("rule_id") == "WB.SECRET.HARDCODED"))
+    outside = ~F.col("test_only")
+    return df.filter(outside | (F.col("rule_id") == _SECRET_RULE) if options.kept.test_code == "secrets" else outside)
 
 
-def result_types(df: DataFrame, options: ScanOptions) -> DataFrame:
-    return df.filter(F.col("verdict_candidate").isin(*options.result_types)) if options.result_types else df
+def verdicts(df: DataFrame, options: ScanOptions) -> DataFrame:
+    wanted = options.kept.verdicts
+    return df.filter(F.col("verdict_candidate").isin(*wanted)) if wanted else df
 
 
-def minimum_evidence(df: DataFrame, options: ScanOptions) -> DataFrame:
-    level = options.minimum_evidence_level
-    return df.filter(F.col("evidence_level") >= level) if level > 0 else df
+def evidence(df: DataFrame, options: ScanOptions) -> DataFrame:
+    return df.filter(F.col("evidence_level") >= options.kept.evidence) if options.kept.evidence > 0 else df
 
 
 def severities(df: DataFrame, options: ScanOptions) -> DataFrame:
-    return df.filter(F.col("suggested_severity").isin(*options.severities)) if options.severities else df
+    wanted = options.kept.severities
+    return df.filter(F.col("suggested_severity").isin(*wanted)) if wanted else df
 
 
-def minimum_confidence(df: DataFrame, options: ScanOptions) -> DataFrame:
-    least = options.min_confidence
-    return df.filter(F.col("confidence_score") >= least) if least > 0 else df
+def confidence(df: DataFrame, options: ScanOptions) -> DataFrame:
+    return df.filter(F.col("confidence_score") >= options.kept.confidence) if options.kept.confidence > 0 else df
 
 
 # filters that depend on the rule variant alone, and those that depend on the file as well
-VARIANT_FILTERS = (result_types, minimum_evidence, severities, minimum_confidence)
-FILE_FILTERS = (production_only, test_filter)
+VARIANT_FILTERS = (verdicts, evidence, severities, confidence)
+FILE_FILTERS = (test_code,)
 
 
 def apply_filters(df: DataFrame, options: ScanOptions, filters=FILE_FILTERS + VARIANT_FILTERS) -> DataFrame:
@@ -120,15 +118,9 @@ def apply_filters(df: DataFrame, options: ScanOptions, filters=FILE_FILTERS + VA
 
 
 def nominal_filters(df: DataFrame, options: ScanOptions) -> DataFrame:
-    """Report filters: suppressed results, inventory entries and review points."""
-    verdict = F.col("verdict_candidate")
-    if not options.show_suppressed:
-        df = df.filter(verdict != "suppressed")
-    if options.exclude_inventory:
-        df = df.filter(verdict != "informational_inventory")
-    if not options.show_review_points:
-        df = df.filter(verdict != "review_point")
-    return df
+    """What a report shows: all but the hidden verdicts."""
+    hidden = options.kept.hidden
+    return df.filter(~F.col("verdict_candidate").isin(*hidden)) if hidden else df
 
 
 def framework_filter(frameworks: DataFrame, names) -> DataFrame:

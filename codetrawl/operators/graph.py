@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import text as tx
 
-# Callers of a name are listed inline up to this number; beyond it the list is left null
-# and the full set is in the callers table.
-INLINE_CALLERS = 10_000
-
 # A shorter name is never followed by a parenthesis, so the name can be taken without backtracking.
 _CALL = tx.pattern(fv.CALL.replace("]*)", "]*+)"))
 
@@ -194,14 +190,24 @@ def _with_route_framework(routes: DataFrame, frameworks: DataFrame | None) -> Da
     return joined.withColumn("framework", F.get(named, F.lit(0))).drop("_names")
 
 
+def _handlers(route_lines: DataFrame) -> DataFrame:
+    return route_lines.filter(F.col("name").isNotNull()).select("repo", "name").distinct()
+
+
+def route_callers(files: DataFrame, symbol_table: DataFrame | None = None) -> DataFrame:
+    """(repo, handler, caller): who calls the handlers of routes, one row each, however many there are.
+
+    Give a written ``symbol_table`` to save a second pass over the files.
+    """
+    edges = callers(symbols(files) if symbol_table is None else symbol_table, _handlers(_route_lines(files)))
+    return edges.select("repo", F.col("name").alias("handler"), "caller")
+
+
 def enrich_routes(files: DataFrame, frameworks: DataFrame | None = None,
-                  symbol_table: DataFrame | None = None, inline_callers: int = INLINE_CALLERS) -> DataFrame:
-    """Route inventory with handler, sorted callees of the handler and its callers.
+                  caller_table: DataFrame | None = None) -> DataFrame:
+    """Route inventory with handler, sorted callees of the handler and the number of its callers.
 
-    Callers are looked up for handler names only. They are counted before they are listed, so
-    no list grows without bound: above ``inline_callers`` the list is null, caller_count tells
-    the number and ``callers`` has the rows. Give a written ``symbol_table`` to save a second
-    pass over the files.
+    The callers themselves are rows of ``route_callers``; give that table, written, to save a pass over the files.
     """
     rows = _route_lines(files)
     routes = rows.select(
@@ -209,21 +215,11 @@ def enrich_routes(files: DataFrame, frameworks: DataFrame | None = None,
         F.col("calls").alias("related_callees"), F.lower("raw").alias("_line"),
     )
     routes = _with_route_framework(routes, frameworks).drop("_line")
-    handlers = routes.filter(F.col("handler").isNotNull()).select("repo", F.col("handler").alias("name")).distinct()
-    edges = callers(symbols(files) if symbol_table is None else symbol_table, handlers)
-    counts = edges.groupBy("repo", "name").agg(F.count("*").alias("caller_count"))
-    listed = (
-        edges.join(counts.filter(F.col("caller_count") <= inline_callers), ["repo", "name"], "left_semi")
-        .groupBy("repo", "name").agg(F.sort_array(F.collect_list("caller")).alias("related_callers"))
-    )
-    called = counts.join(listed, ["repo", "name"], "left").withColumnRenamed("name", "handler")
-    joined = routes.join(called, ["repo", "handler"], "left")
-    count = F.coalesce("caller_count", F.lit(0))
+    edges = route_callers(files) if caller_table is None else caller_table
+    joined = routes.join(edges.groupBy("repo", "handler").agg(F.count("*").alias("caller_count")), ["repo", "handler"], "left")
     return joined.select(
         "repo", "path", "line_no", "method", "route", "framework", "handler", "evidence", "related_callees",
-        F.when(count == 0, F.array().cast("array<string>")).otherwise(F.col("related_callers"))
-        .alias("related_callers"),
-        count.alias("caller_count"),
+        F.coalesce("caller_count", F.lit(0)).alias("caller_count"),
         F.when(F.col("handler").isNotNull(), F.lit(fv.SCOPE_GRAPH)).otherwise(F.lit(fv.SCOPE_SYNTAX))
         .alias("graph_scope"),
         F.lit(fv.ROUTE_NOTES).alias("review_notes"),

@@ -32,12 +32,12 @@ def frameworks(files: DataFrame, manifests: DataFrame | None = None) -> DataFram
     """(repo, framework), from the text of source files and root manifests.
 
     ``manifests`` has (repo, path, text, size); only the known manifests at the root of a
-    repository count, up to 2 MB. One boolean row per file, folded per repository before the
+    repository count, whatever their size. One boolean row per file, folded per repository before the
     shuffle, so what is exchanged does not depend on the size of the texts.
     """
     texts = files.select("repo", "text")
     if manifests is not None:
-        root = F.col("path").isin(*fv.FRAMEWORK_MANIFESTS) & (F.col("size") <= fv.MAX_MANIFEST_BYTES)
+        root = F.col("path").isin(*fv.FRAMEWORK_MANIFESTS)
         texts = texts.unionByName(manifests.filter(root).select("repo", "text"))
     names = list(fv.FRAMEWORK_MARKERS)
     lowered = texts.withColumn("lowered", F.lower("text"))
@@ -73,7 +73,10 @@ def manifests(listing: DataFrame) -> DataFrame:
 
 
 def _regular(listing: DataFrame) -> DataFrame:
-    return listing.filter(~F.col("is_symlink")) if "is_symlink" in listing.columns else listing
+    """Without links and directories that were not entered."""
+    if "is_symlink" in listing.columns:
+        listing = listing.filter(~F.col("is_symlink"))
+    return listing.filter(~F.col("error").eqNullSafe(fv.SKIP_EXCLUDED)) if "error" in listing.columns else listing
 
 
 def lock_files(manifest_table: DataFrame) -> DataFrame:

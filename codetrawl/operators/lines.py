@@ -86,7 +86,7 @@ def candidate_lines(files: DataFrame, rules: list[Rule], options: ScanOptions) -
             F.get("raw_lines", number - 1).alias("raw"),
             F.get("uncommented_lines", number - 1).alias("uncommented"),
             F.get("code_lines", number - 1).alias("code"),
-            tx.snippet(F.col("raw_lines"), number, options.max_snippet_lines, options.snippets, options.redact)
+            tx.snippet(F.col("raw_lines"), number, options.quotes.lines, options.quotes.lines > 0, options.quotes.hide_secrets)
             .alias("evidence"),
         ]
         if any("contexts" in rule.uses for rule in rules):

@@ -43,9 +43,9 @@ def local_findings(
         # the collected keys are those of the catalogue, never of the data
         keys = {row["match_key"] for row in templates.select("match_key").distinct().collect()}
     active = frozenset(keys if only is None else keys & set(only))
-    files = enrich.language_filter(files, options.languages)
-    if options.includes:
-        files = files.filter(paths.matches_any_glob(F.col("path"), options.includes))
+    files = enrich.language_filter(files, options.sources.languages)
+    if options.sources.globs:
+        files = files.filter(paths.matches_any_glob(F.col("path"), options.sources.globs))
 
     parts = []
     table = rules.broadcast_templates(templates, 4 * len(entries))
@@ -56,7 +56,7 @@ def local_findings(
         parts.append(rules.to_findings(matches, table, framework))
     if function_rules and (only is None or AUTHZ_KEY in set(only)):
         functions = authz.functions_without_control(
-            files, options.max_snippet_lines, options.snippets, options.redact)
+            files, options.quotes.lines, options.quotes.lines > 0, options.quotes.hide_secrets)
         found = authz.to_findings(functions, framework)
         parts.append(found.transform(enrich.enrich).transform(enrich.apply_filters, options))
     if not parts:
@@ -85,7 +85,7 @@ def scan_files(
     if custom:
         findings = enrich.dedup(findings)
     if frameworks is not None:
-        findings = enrich.with_framework(findings, enrich.framework_filter(frameworks, options.frameworks))
+        findings = enrich.with_framework(findings, enrich.framework_filter(frameworks, options.kept.frameworks))
     if imported is not None:
         findings = findings.unionByName(enrich.dedup(imported))
     return with_root_cause(findings)

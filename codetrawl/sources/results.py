@@ -7,6 +7,7 @@ fixed schemas; one that does not parse becomes an error row and the rest goes on
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +33,12 @@ _GOSEC_ISSUE = (
 )
 GOSEC = tuple(f"struct<{name}: {_GOSEC_ISSUE}>" for name in ("Issues", "issues"))
 _SOURCE_LINE = "array<struct<_sourcepath: string, _start: string>>"
-FINDSECBUGS = (
-    f"_type string, _priority string, SourceLine {_SOURCE_LINE}, Class struct<SourceLine: {_SOURCE_LINE}>, "
-    f"Method struct<SourceLine: {_SOURCE_LINE}>"
-)
+# in the order in which they stand in a report; the instance's own source line is the last
+_PLACES = ("Class", "Type", "Method", "Field", "LocalVariable")
+_CORRUPT = "_corrupt_record"
+FINDSECBUGS = ", ".join((
+    "_type string, _priority string", *(f"{name} struct<SourceLine: {_SOURCE_LINE}>" for name in _PLACES),
+    f"SourceLine {_SOURCE_LINE}", f"{_CORRUPT} string"))
 
 
 # --- normalisation ---------------------------------------------------------------------------
@@ -119,6 +122,10 @@ def _parsed(documents: DataFrame, schema: str) -> Column:
     return F.when(F.try_parse_json("content").isNotNull(), F.from_json("content", schema))
 
 
+def _is_list(value: Column) -> Column:
+    return F.schema_of_variant(value).startswith("ARRAY")
+
+
 def _items(documents: DataFrame, array: Column) -> DataFrame:
     return documents.select("repo", F.col("file").alias("seq_file"), F.posexplode(array).alias("seq_pos", "item"))
 
@@ -138,7 +145,8 @@ def semgrep(documents: DataFrame, root: str | None = None) -> DataFrame:
 
 
 def gitleaks(documents: DataFrame, root: str | None = None) -> DataFrame:
-    rows = _items(documents, _parsed(documents, GITLEAKS))
+    # the parser would take an object for a list of one
+    rows = _items(documents.filter(_is_list(F.try_parse_json("content"))), _parsed(documents, GITLEAKS))
     return _normal(rows, "gitleaks", root, rule=_item("RuleID", "unknown"),
                    title=_item("Description", fv.IMPORT_TITLES["gitleaks"]),
                    message=_item("Description", fv.IMPORT_MESSAGES["gitleaks"]), path=_item("File"),
@@ -168,8 +176,9 @@ def gosec(documents: DataFrame, root: str | None = None) -> DataFrame:
 
 def findsecbugs(bugs: DataFrame, root: str | None = None) -> DataFrame:
     """Findings of BugInstance rows as read by ``read_findsecbugs`` (repo, seq_file, item)."""
-    rows = bugs.withColumn("seq_pos", F.monotonically_increasing_id())
-    place = F.get(F.coalesce(_item("SourceLine"), _item("Class.SourceLine"), _item("Method.SourceLine")), F.lit(0))
+    # a record has no position of its own; its content gives one that does not depend on how files are split
+    rows = bugs.withColumn("seq_pos", F.xxhash64("item"))
+    place = F.get(F.coalesce(*[_item(f"{name}.SourceLine") for name in _PLACES], _item("SourceLine")), F.lit(0))
     return _normal(rows, "findsecbugs", root, rule=_item("_type", "unknown"),
                    title=_item("_type", fv.IMPORT_TITLES["findsecbugs"]),
                    message=_item("_type", fv.IMPORT_MESSAGES["findsecbugs"]), path=place["_sourcepath"],
@@ -178,8 +187,12 @@ def findsecbugs(bugs: DataFrame, root: str | None = None) -> DataFrame:
 
 
 def read_findsecbugs(spark: SparkSession, path: str, repo: str = "") -> DataFrame:
-    """(repo, seq_file, item): one row per BugInstance of the XML files below a path."""
-    rows = spark.read.format("xml").option("rowTag", "BugInstance").schema(FINDSECBUGS).load(path)
+    """(repo, seq_file, item): one row per whole BugInstance of the XML files below a path.
+
+    Broken files are rows of ``xml_errors``; nothing is made up from their fragments.
+    """
+    read = spark.read.format("xml").option("rowTag", "BugInstance").option("columnNameOfCorruptRecord", _CORRUPT)
+    rows = read.schema(FINDSECBUGS).load(path).filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
     return rows.select(F.lit(repo).alias("repo"), F.col("_metadata.file_path").alias("seq_file"),
                        F.struct(*[F.col(c) for c in rows.columns]).alias("item"))
 
@@ -196,16 +209,36 @@ def _normal(rows: DataFrame, tool: str, root: str | None, *, rule, title, messag
 JSON_READERS = {"semgrep": semgrep, "gitleaks": gitleaks, "bandit": bandit, "gosec": gosec}
 
 
+# where the list of results is in a document; the whole document for null
+_RESULT_KEYS = {"semgrep": ("results",), "bandit": ("results",), "gosec": ("Issues", "issues"), "gitleaks": None}
+
+
 def import_errors(documents: DataFrame, tool: str) -> DataFrame:
-    """(repo, path, tool, error): documents of a tool that do not parse."""
-    broken = documents.filter(F.try_parse_json("content").isNull())
+    """(repo, path, tool, error): documents of a tool that do not parse or do not hold a list of results."""
+    value, keys = F.try_parse_json("content"), _RESULT_KEYS[tool]
+
+    if keys is None:
+        fits = _is_list(value)
+    else:
+        parts = [F.try_variant_get(value, f"$.{key}", "variant") for key in keys]
+        fits = F.schema_of_variant(value).startswith("OBJECT") & _is_list(F.coalesce(*parts, F.parse_json(F.lit("[]"))))
+    error = F.when(value.isNull(), F.lit("not valid JSON")).when(~fits, F.lit("not a list of results"))
+    return documents.withColumn("_why", error).filter(F.col("_why").isNotNull()).select(
+        "repo", F.col("file").alias("path"), F.lit(tool).alias("tool"),
+        F.concat(F.lit(f"{tool} import failed: "), "_why").alias("error"))
+
+
+def xml_errors(documents: DataFrame, tool: str = "findsecbugs") -> DataFrame:
+    """(repo, path, tool, error): documents that are not well-formed XML."""
+    parsed = F.from_xml("content", F.lit(f"{_CORRUPT} string"), {"columnNameOfCorruptRecord": _CORRUPT})
+    broken = documents.filter(parsed.isNull() | parsed[_CORRUPT].isNotNull())
     return broken.select("repo", F.col("file").alias("path"), F.lit(tool).alias("tool"),
-                         F.lit(f"{tool} import failed: not valid JSON").alias("error"))
+                         F.lit(f"{tool} import failed: not valid XML").alias("error"))
 
 
 def import_results(spark: SparkSession, specs: list[str], repo: str = "",
                    root: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Findings and errors of ``tool=path`` specifications; a bad one is an error row."""
+    """Findings and errors of ``tool=path`` specifications; a bad one, and one that names no file, is an error row."""
     findings = spark.createDataFrame([], FINDINGS)
     problems = []
     errors = None
@@ -216,12 +249,17 @@ def import_results(spark: SparkSession, specs: list[str], repo: str = "",
             problems.append((repo, spec, "", f"invalid imported result specification: {spec}; use tool=path"))
         elif tool not in fv.IMPORT_TOOLS:
             problems.append((repo, path, tool, f"unsupported adapter: {tool}"))
-        elif tool == "findsecbugs":
-            findings = findings.unionByName(findsecbugs(read_findsecbugs(spark, path, repo), root))
-        elif tool in JSON_READERS:
-            documents = read_documents(spark, path, repo)
-            findings = findings.unionByName(JSON_READERS[tool](documents, root))
-            broken = import_errors(documents, tool)
+        elif tool == "findsecbugs" or tool in JSON_READERS:
+            try:
+                documents = read_documents(spark, path, repo)
+            except AnalysisException as problem:
+                problems.append((repo, path, tool, f"{tool} import failed: {problem.getCondition()}"))
+                continue
+            if tool == "findsecbugs":
+                found, broken = findsecbugs(read_findsecbugs(spark, path, repo), root), xml_errors(documents)
+            else:
+                found, broken = JSON_READERS[tool](documents, root), import_errors(documents, tool)
+            findings = findings.unionByName(found)
             errors = broken if errors is None else errors.unionByName(broken)
     given = spark.createDataFrame(problems, "repo string, path string, tool string, error string")
     return findings, given if errors is None else given.unionByName(errors)

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from codetrawl import ScanOptions, scan_files
+from codetrawl import ScanOptions, Sources, scan_files
 from codetrawl.functions import text as tx
 from codetrawl.operators import compare, correlate, enrich, graph, inventory
 from codetrawl.operators.lines import source_lines
@@ -54,10 +54,16 @@ def test_route_graph(source):
     (route,) = graph.graph_routes(files).collect()
     assert (route.method, route.route, route.handler) == ("GET", "/users", "fn")
     (full,) = graph.enrich_routes(files).collect()
-    assert full.related_callees == ["get", "loadUsers"] and full.related_callers == ["caller"]
+    assert full.related_callees == ["get", "loadUsers"] and full.caller_count == 1
+    assert [tuple(r) for r in graph.route_callers(files).collect()] == [("r", "fn", "caller")]
     assert full.graph_scope == "same-file bounded call graph"
-    (capped,) = graph.enrich_routes(files, inline_callers=0).collect()
-    assert capped.related_callers is None and capped.caller_count == 1
+
+
+def test_callers_are_rows_however_many(source):
+    many = "".join(f"function c{i}() {{ fn({i}); }}\n" for i in range(10_001))
+    files = source(("a.js", "function fn(req) {\n  return 1;\n}\napp.get('/users', fn);\n" + many))
+    (route,) = graph.enrich_routes(files).collect()
+    assert route.caller_count == 10_001 and graph.route_callers(files).count() == 10_001
 
 
 def test_frameworks(spark, source):
@@ -66,7 +72,8 @@ def test_frameworks(spark, source):
     manifests = spark.createDataFrame(
         [("r", "package.json", '{"express": "1"}', 10), ("r", "pom.xml", "hibernate", 3_000_000),
          ("r", "sub/go.mod", "gorm.io/gorm", 5)], "repo string, path string, text string, size long")
-    assert [r.framework for r in inventory.frameworks(files, manifests).collect()] == ["Express"]
+    found = sorted(r.framework for r in inventory.frameworks(files, manifests).collect())
+    assert found == ["Express", "Hibernate"]
 
 
 def test_tree(spark, tmp_path):
@@ -74,13 +81,15 @@ def test_tree(spark, tmp_path):
     for path, data in {
         "src/a.py": b"x = 1\n", "src/__init__.py": b"", "big.py": b"#" * 300, "bin.py": b"a\0b", "bad.py": b"\xff = 1",
         "node_modules/x/a.js": b"1", "_tests/.hidden/b.go": b"package b", "notes.txt": b"n", "go.mod": b"gorm.io/gorm",
-        "ignored/c.py": b"1", "src/test/d.py": b"1", ".gitignore": b"ignored/\nsrc/test\n",
+        "ignored/c.py": b"1", "src/test/d.py": b"1", ".gitignore": b"#" * 300 + b"\nignored/\t\r\nsrc/test\n",
+        "late.py": b"a" * 10_000 + b"\0", "package.json": b" " * 300 + b"express",
     }.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_bytes(data)
     os.symlink(root / "src/a.py", root / "link.py")
     os.symlink(root / "src", root / "linked")
-    options = ScanOptions(max_file_size=200, respect_gitignore=True)
+    (root / "vendor").mkdir()
+    options = ScanOptions(Sources(largest=200, ignore_file=True))
     raw = fs.read_tree(spark, {"r": str(root)}, options).cache()
     classified = fs.classify(raw, options, fs.ignore_items(raw))
     got = {r.path: r.text for r in fs.source_files(classified, options).collect()}
@@ -88,8 +97,14 @@ def test_tree(spark, tmp_path):
     assert got["bad.py"] == "� = 1"
     assert {(r.path, r.reason) for r in fs.skipped_files(classified).collect()} == {
         ("big.py", "maximum file size"), ("bin.py", "binary file"), ("link.py", "symlink not followed"),
-        ("linked", "symlink not followed"), ("node_modules", "excluded directory"), ("ignored", "excluded directory")}
-    assert [r.path for r in inventory.manifests(raw).collect()] == ["go.mod"]
+        ("linked", "symlink not followed"), ("node_modules", "excluded directory"), ("ignored", "excluded directory"),
+        ("vendor", "excluded directory"), ("late.py", "maximum file size")}
+    assert not [r.path for r in raw.collect() if r.path.startswith(("node_modules/", "ignored/"))]
+    everything = fs.classify(fs.read_tree(spark, {"r": str(root)}))
+    assert ("late.py", "binary file") in {(r.path, r.reason) for r in fs.skipped_files(everything).collect()}
+    assert [r.framework for r in inventory.frameworks(everything.limit(0).select("repo", F.lit("").alias("text")), fs.manifest_texts(raw)).collect()] \
+        == ["Express", "GORM"]
+    assert sorted(r.path for r in inventory.manifests(raw).collect()) == ["go.mod", "package.json"]
 
 
 def test_imports(spark, tmp_path):
@@ -112,10 +127,29 @@ def test_imports(spark, tmp_path):
     assert (first.file_path, first.start_line, first.confidence_score, first.suggested_severity) == ("x.py", 3, 90, "medium")
     assert first.cwe_ids == ["CWE-1: x", "CWE-22"] and first.evidence == "token=abc********ij"
     assert rows["EXT.GOSEC.G1"].start_line == 1
-    assert (rows["EXT.FINDSECBUGS.T"].file_path, rows["EXT.FINDSECBUGS.T"].start_line) == ("A.java", 9)
+    assert (rows["EXT.FINDSECBUGS.T"].file_path, rows["EXT.FINDSECBUGS.T"].start_line) == ("M.java", 7)
     assert len(errors.collect()) == 3
 
 
+def test_broken_imports_are_error_rows(spark, tmp_path):
+    (tmp_path / "list.json").write_text("[1, 2]")
+    (tmp_path / "text.json").write_text('{"results": "x"}')
+    (tmp_path / "object.json").write_text('{"a": 1}')
+    (tmp_path / "none.json").write_text('{"other": 1}')
+    (tmp_path / "cut.xml").write_text('<BugCollection><BugInstance type="T"><Class>')
+    (tmp_path / "fields.xml").write_text(
+        '<BugCollection><BugInstance type="A"><Field><SourceLine sourcepath="F.java" start="3"/></Field></BugInstance>'
+        '<BugInstance type="B"><LocalVariable><SourceLine sourcepath="L.java" start="4"/></LocalVariable></BugInstance></BugCollection>')
+    specs = [f"semgrep={tmp_path}/list.json", f"bandit={tmp_path}/text.json", f"gitleaks={tmp_path}/object.json", f"gosec={tmp_path}/none.json",
+             f"findsecbugs={tmp_path}/cut.xml", f"findsecbugs={tmp_path}/fields.xml", f"gosec={tmp_path}/missing.json"]
+    findings, errors = results.import_results(spark, specs, "r")
+    assert {(r.rule_id, r.file_path, r.start_line) for r in findings.collect()} == {
+        ("EXT.FINDSECBUGS.A", "F.java", 3), ("EXT.FINDSECBUGS.B", "L.java", 4)}
+    assert sorted((r.path.rsplit("/")[-1], r.error.split(": ")[1]) for r in errors.collect()) == [
+        ("cut.xml", "not valid XML"), ("list.json", "not a list of results"), ("missing.json", "PATH_NOT_FOUND"),
+        ("object.json", "not a list of results"), ("text.json", "not a list of results")]
+
+
 def test_dedup_does_not_depend_on_partitions(spark, source):
     found = scan_files(source(("a.py", PY)))
     doubled = found.unionByName(found.withColumns({

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codetrawl import ScanOptions, scan_files
+from codetrawl import Kept, Quotes, ScanOptions, scan_files
 from codetrawl.operators.rules import CustomRule
 from codetrawl.plans.scan import local_findings
 
@@ -143,7 +143,7 @@ def test_shadowed_secret_comes_back_when_the_later_one_is_filtered(source):
     files = source(("src/test/A.java", line))
     (row,) = scan_files(files).collect()
     assert row.confidence_score == 96 and row.suggested_severity == "low"
-    (row,) = scan_files(files, ScanOptions(severities=("high",))).collect()
+    (row,) = scan_files(files, ScanOptions(kept=Kept(severities=("high",)))).collect()
     assert row.confidence_score == 86
 
 
@@ -157,7 +157,7 @@ def test_snippets_and_redaction(source):
     files = source(("a.py", 'password = "hunter2hunter2"\n'))
     (row,) = scan_files(files).collect()
     assert row.evidence == "password=hun********r2"
-    assert scan_files(files, ScanOptions(snippets=False)).first().evidence == ""
+    assert scan_files(files, ScanOptions(quotes=Quotes(lines=0))).first().evidence == ""
 
 
 def test_custom_rules_more_than_one_mask_holds(source):
