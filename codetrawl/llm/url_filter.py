@@ -94,7 +94,16 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], redirects:
     """
     store = Stored(pages.sparkSession, "url_verdicts")
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    fit = fitting_rules(pages, rules, url, store).select(F.col("host").alias("_h"), F.col("rules").alias("_rules"))
+    links = page_links(pages, url, html) if html and html in pages.columns else None
+    if redirects is not None:
+        given = redirects.select("url", "target")
+        links = given if links is None else links.union(given)
+    # rules also decide about urls that are only linked to
+    every = pages.select(F.col(url))
+    if links is not None:
+        links = store.put(links)
+        every = every.union(links.select("url")).union(links.select("target"))
+    fit = fitting_rules(every, rules, url, store).select(F.col("host").alias("_h"), F.col("rules").alias("_rules"))
 
     def judged(frame: DataFrame, columns: list[Column]) -> DataFrame:
         rows = frame.select(*columns, host_of(F.col(url)).alias("_host"), path_of(F.col(url)).alias("_path"),
@@ -103,11 +112,7 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], redirects:
         best = F.array_max(F.filter("_rules", lambda r: F.startswith(F.col("_path"), r["rule_path"])))
         return rows.withColumn("_best", best).drop("_rules")
 
-    links = page_links(pages, url, html) if html and html in pages.columns else None
-    if redirects is not None:
-        given = redirects.select("url", "target")
-        links = given if links is None else links.union(given)
-    said = (judged(pages, []).where("_best is not null and _key is not null").groupBy(F.col("_key").alias("key"))
+    said = (judged(every, []).where("_best is not null and _key is not null").groupBy(F.col("_key").alias("key"))
             .agg(F.max(F.col("_best.verdict") == "allow").alias("allowed"), F.max(F.col("_best.verdict") == "block").alias("blocked")))
     if links is None:
         groups = said.select("key", F.col("key").alias("component")).limit(0)
