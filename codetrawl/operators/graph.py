@@ -18,16 +18,41 @@ from ..functions import text as tx
 _CALL = tx.pattern(fv.CALL.replace("]*)", "]*+)"))
 
 
-def declared_name(line: Column, language: Column) -> Column:
-    """Name declared on a line, null when there is none.
+# What the Java expression asks for before a parenthesis: a word, at most brackets and blanks, a blank and the name.
+_JAVA_NAME = r"\w([\s<>\[\],?]*+)(?<=\s)([A-Za-z_]\w*+)\s*+\z"
+_JAVA_BROKEN = r"[<>\[\],?] *+[^\S ]\s*+[<>\[\],?]"
+_JAVA_BODY = r"\)\s*+\{"
+
 
-    The Java expression backtracks over long lines, so lines without its brackets never meet it.
+def _java_name(line: Column) -> Column:
+    """What the Java expression of ``fv.DECLARATIONS`` captures, in one walk over the line.
+
+    That expression tries every word as a start and backtracks over all that follows. A match lies between
+    parentheses, though: a name before one of them, and behind it a closing one with a brace before any semicolon. So
+    the pieces between opening parentheses are read once, with the first name that still waits for its brace.
     """
+    nothing = F.lit(None).cast("string")
+
+    def step(state: Column, piece: Column) -> Column:
+        body = tx.matches(F.substring_index(piece, ";", 1), _JAVA_BODY)
+        name = F.nullif(tx.extract(piece, _JAVA_NAME, 2), F.lit(""))
+        sound = ~tx.matches(tx.extract(piece, _JAVA_NAME, 1), _JAVA_BROKEN)
+        return F.struct(
+            F.coalesce(F.when(~piece.contains(";"), state["waiting"]), F.when(sound, name)).alias("waiting"),
+            F.coalesce(state["name"], F.when(body, state["waiting"])).alias("name"))
+
+    start = F.struct(nothing.alias("waiting"), nothing.alias("name"))
+    return F.aggregate(F.split(line, r"\("), start, step, lambda state: state["name"])
+
+
+def declared_name(line: Column, language: Column) -> Column:
+    """Name declared on a line, null when there is none."""
     cases = None
     for name, (regex, _) in fv.DECLARATIONS.items():
-        value = tx.extract(line, regex, 1)
         if name == "java":
-            value = F.when(line.contains("(") & line.contains("{"), value)
+            value = F.when(line.contains("(") & line.contains("{"), _java_name(line))
+        else:
+            value = tx.extract(line, regex, 1)
         cases = F.when(language == name, value) if cases is None else cases.when(language == name, value)
     return F.nullif(cases, F.lit(""))
 

@@ -192,3 +192,36 @@ def test_written_results(spark, source, tmp_path):
     assert len(parsed["runs"][0]["results"]) == found.count()
     again = results.read_findings(spark, str(tmp_path / "out/findings"))
     assert again.count() == found.count()
+
+
+def test_java_declarations_equal_their_expression(spark):
+    import random
+    import re
+
+    from codetrawl import fixed_values as fv
+
+    rng = random.Random(8)
+    parts = ["public", "static", "private", "int", "foo", "List<String>", "[]", "<", "?", ",", " ", "  ", "\t", "(", ")", "{", ";", "=", "+", "x1", "1x", "}", "é"]
+    lines = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 22))) for _ in range(6000)]
+    for _ in range(6000):
+        def some(k):
+            return "".join(rng.choice(parts) for _ in range(rng.randrange(k)))
+        lines.append(some(6) + rng.choice(["int", "", "[]", "List<A>", "static"]) + rng.choice([" ", "\t", "  ", ""]) + some(2) + rng.choice(["name", "n2", ""]) + rng.choice(["", " "])
+                     + "(" + some(4) + rng.choice([")", ") ", ""]) + rng.choice(["{", " {", ""]) + some(5))
+    lines += ["public static void main(String[] args) {", "public\t[] name(int a) {", "[] name() {", "foo[]\t<> name() {", "new Thread(() -> run(x) ) {"]
+    expression = re.compile(fv.DECLARATIONS["java"][0])
+    expected = [(m := expression.search(line)) and m.group(1) for line in lines]
+    assert sum(e is not None for e in expected) > 200
+    frame = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "i int, line string")
+    got = {r.i: r.name for r in frame.select("i", graph.declared_name(F.col("line"), F.lit("java")).alias("name")).collect()}
+    wrong = [(line, e, got[i]) for i, (line, e) in enumerate(zip(lines, expected)) if e != got[i]]
+    assert not wrong, wrong[:5]
+
+
+def test_long_java_lines(spark):
+    import time
+
+    frame = spark.createDataFrame([("x ( { " + "a " * 500_000,), ("int[] x = {" + "f(1), " * 150_000 + "};",), ("a\t" * 500_000 + "() {",)], "line string")
+    start = time.time()
+    assert {r.name for r in frame.select(graph.declared_name(F.col("line"), F.lit("java")).alias("name")).collect()} == {None, "a"}
+    assert time.time() - start < 30
