@@ -131,6 +131,20 @@ class Rolling:
     def at(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((sums[end] - sums[start]) * self.down[start] + end.astype(np.uint64) - start.astype(np.uint64))
 
+    def sums_of(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Prefix sums over texts that lie one behind the other, with powers that start anew in each; for `between`."""
+        self._grow(int(sizes.max(initial=0)) + 1)
+        out = np.zeros(len(data) + 1, dtype=np.uint64)
+        at = 0
+        for size in sizes.tolist():
+            out[at + 1:at + size + 1] = self.table[data[at:at + size]] * self.up[:size]
+            at += size
+        return np.cumsum(out, out=out)
+
+    def between(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Hashes of slices [start, end) within texts that begin at `base`."""
+        return mixed((sums[end] - sums[start]) * self.down[start - base] + (end - start).astype(np.uint64))
+
     def windows(self, sums: np.ndarray, size: int) -> np.ndarray:
         """For every position that has `size` bytes behind it."""
         count = max(len(sums) - size, 0)

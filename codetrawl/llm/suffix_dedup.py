@@ -114,21 +114,24 @@ def runs_of(texts: DataFrame, length: int) -> DataFrame:
 
 def repeated_strings(contexts: list[bytes], length: int) -> list[np.ndarray]:
     """For each context which of its strings of `length` bytes (by start) occur elsewhere in these contexts."""
-    data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+    whole = b"".join(contexts)
+    data = np.frombuffer(whole, dtype=np.uint8)
     sizes = np.array([len(c) for c in contexts])
     first = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(sizes)), sizes)
     # chunks begin behind four bytes whose hash says so, and at the beginning of a context
-    wide = data.astype(np.uint32)
-    four = (wide[:-3] * np.uint32(0x9E3779B1) + wide[1:-2] * np.uint32(0x85EBCA77) + wide[2:-1] * np.uint32(0xC2B2AE3D) + wide[3:] * np.uint32(0x27D4EB2F))
-    cut = np.zeros(len(data) + 1, dtype=bool)
-    cut[4:] = (four ^ (four >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(28) == 0
-    inner = np.arange(len(data)) - first[owner] >= 4
-    cut[:-1] &= inner
-    chosen = np.flatnonzero(cut[:-1])
+    four = np.zeros(len(data), dtype=np.uint32)
+    for step, factor in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)):
+        four[4:] += data[step:len(data) - 4 + step] * np.uint32(factor)
+    four ^= four >> np.uint32(15)
+    four *= np.uint32(0x2C1B3C6D)
+    cut = four >> np.uint32(28) == 0
+    del four
+    for k in range(4):
+        cut[(first + k)[first + k < len(data)]] = False
+    chosen = np.flatnonzero(cut).astype(np.int32)
     bounds = np.union1d(first, chosen)
+    owner = np.searchsorted(first, bounds, side="right") - 1
     ends = np.append(bounds[1:], len(data))
-    whole = data.tobytes()
     chunks = [whole[i:j] for i, j in zip(bounds.tolist(), ends.tolist())]
     number = {c: k for k, c in enumerate(sorted(set(chunks)))}
     # every context ends with a symbol of its own, smaller than all chunks
@@ -137,26 +140,35 @@ def repeated_strings(contexts: list[bytes], length: int) -> list[np.ndarray]:
     for k, (i, j) in enumerate(zip(begins.tolist(), [*begins[1:].tolist(), len(bounds)])):
         symbols += [number[c] for c in chunks[i:j]]
         symbols.append(k - len(contexts))
-    rank = ranks(symbols)
-    rank_at = np.full(len(data) + 1, -1, dtype=np.int64)
-    rank_at[bounds] = rank[np.arange(len(bounds)) + owner[bounds]]
-
-    starts = np.flatnonzero(np.arange(len(data)) + length <= (first + sizes)[owner])
+    del chunks, number
+    rank_at = np.full(len(data) + 1, -1, dtype=np.int32)
+    rank_at[bounds] = ranks(symbols)[np.arange(len(bounds)) + owner]
+
+    short = np.zeros(len(data), dtype=bool)  # starts too close to the end of a context
+    for i, n in zip(first.tolist(), sizes.tolist()):
+        short[i + max(n - length + 1, 0):i + n] = True
+    starts = np.flatnonzero(~short).astype(np.int32)
     # the first chunk that begins at least four bytes behind the start, if it lies within the string
-    at = np.searchsorted(chosen, starts + 4)
-    behind = np.where(at < len(chosen), chosen[np.minimum(at, len(chosen) - 1)], len(data)) if len(chosen) else np.full(len(starts), len(data))
-    inside = behind < starts + length
-    behind = np.where(inside, behind, starts + length)
-    rolling = Rolling(23)
-    sums = rolling.sums(data)
-    head = rolling.at(sums, starts, behind)
+    behind = starts + np.int32(length)
+    if len(chosen):
+        at = np.searchsorted(chosen, starts + np.int32(4))
+        near = np.where(at < len(chosen), chosen[np.minimum(at, len(chosen) - 1)], np.int32(len(data)))
+        inside = near < behind
+        behind = np.where(inside, near, behind)
+    else:
+        inside = np.zeros(len(starts), dtype=bool)
+    rolling, base = Rolling(23), np.repeat(first, sizes)[starts].astype(np.int32)
+    sums = rolling.sums_of(data, sizes)
+    head = rolling.between(sums, starts, behind, base)
     order = np.lexsort((np.where(inside, rank_at[behind], -1), head))
-    here, there = starts[order[:-1]], starts[order[1:]]
-    full = rolling.at(sums, starts, starts + length)[order]
+    del head
+    full = rolling.between(sums, starts, starts + np.int32(length), base)[order]
     same = np.flatnonzero(full[:-1] == full[1:])
-    same = np.array([k for k in same.tolist() if whole[here[k]:here[k] + length] == whole[there[k]:there[k] + length]], dtype=np.int64)
+    here, there = starts[order[same]], starts[order[same + 1]]
     again = np.zeros(len(data), dtype=bool)
-    again[here[same]] = again[there[same]] = True
+    for i, j in zip(here.tolist(), there.tolist()):
+        if whole[i:i + length] == whole[j:j + length]:
+            again[i] = again[j] = True
     return [again[i:i + max(n - length + 1, 0)] for i, n in zip(first.tolist(), sizes.tolist())]
 
 
