@@ -107,17 +107,6 @@ class Fit:
         self.thresholds = np.maximum.accumulate(self.thresholds - 0.02 * np.clip(step[1:-1], -5, 5))
 
 
-def merged(parts: list[tuple[int, Fit]]) -> Fit:
-    """Mean of the fits, weighted by rows; a feature that a bucket has not seen counts as zero there."""
-    total = sum(rows for rows, _ in parts)
-    out = Fit(sum(rows / total * f.thresholds for rows, f in parts)).extended(np.unique(np.concatenate([f.hashes for _, f in parts])))
-    for rows, f in parts:
-        at = np.searchsorted(out.hashes, f.hashes)
-        out.z[at] += rows / total * f.z
-        out.n[at] += rows / total * f.n
-    return out
-
-
 def train(docs: DataFrame, ratings: DataFrame, *, id: str = "doc_id", text: str = "text", grade: str = "grade",  # noqa: A002
           grades: int = 3, most_rows: int = 10_000, rounds: int = 6) -> Model:
     """A model from `ratings` (id, grade from 0 to grades - 1). Bound: about `most_rows` ratings, chosen by a hash of the id.
@@ -133,26 +122,35 @@ def train(docs: DataFrame, ratings: DataFrame, *, id: str = "doc_id", text: str
     sample = store.put(docs.select(docs[id].alias("id"), docs[text].alias("text")).join(chosen, "id").select(
         "grade", "text", F.xxhash64("id", F.lit(2)).alias("turn"), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(BUCKETS)).alias("bucket")))
     fit = Fit(np.linspace(-1.0, 1.0, grades - 1))
-    for _ in range(rounds):
+    total = sample.count()
+    for _ in range(rounds if total else 0):
         shared = spark.sparkContext.broadcast(fit)
 
         def step(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values(["turn", "text", "grade"])
-            rolling, seen = Rolling(), []
-            for value in part["text"]:
-                seen.append(features(rolling, [(value or "").encode()])[1])
-            own = shared.value.extended(np.unique(np.concatenate(seen)))
+            rolling = Rolling()
+            seen = [features(rolling, [(value or "").encode()])[1] for value in part["text"]]
+            every, texts = np.unique(np.concatenate(seen), return_counts=True)
+            every = every[texts > 1]  # what a single text has says nothing about others
+            own = shared.value.extended(every)
             for hashes, label in zip(seen, part["grade"]):
-                own.learn(np.searchsorted(own.hashes, hashes), int(label))
-            used = own.n > 0
-            return pd.DataFrame({"rows": [len(part)], "thresholds": [own.thresholds.tobytes()], "hashes": [own.hashes[used].tobytes()],
-                                 "z": [own.z[used].tobytes()], "n": [own.n[used].tobytes()]})
-
-        parts = sample.groupBy("bucket").applyInPandas(step, "rows long, thresholds binary, hashes binary, z binary, n binary").toPandas()
-        if parts.empty:
-            break
-        fit = merged([(r.rows, Fit(np.frombuffer(r.thresholds), np.frombuffer(r.hashes, dtype=np.uint64), np.frombuffer(r.z), np.frombuffer(r.n)))
-                      for r in parts.itertuples()])
+                at = np.searchsorted(own.hashes, hashes)
+                at = at[own.hashes[np.minimum(at, len(own.hashes) - 1)] == hashes] if len(own.hashes) else at[:0]
+                own.learn(at, int(label))
+            rows, used = len(part), np.flatnonzero(own.n > 0)
+            places = np.arange(len(own.thresholds))  # thresholds travel along, marked by their place
+            return pd.DataFrame({
+                "threshold": np.concatenate([places, np.full(len(used), -1)]),
+                "hash": np.concatenate([places * 0, own.hashes[used].view(np.int64)]),
+                "z": rows * np.concatenate([own.thresholds, own.z[used]]), "n": rows * np.concatenate([places * 0.0, own.n[used]])})
+
+        parts = sample.groupBy("bucket").applyInPandas(step, "threshold int, hash long, z double, n double")
+        found = parts.groupBy("threshold", "hash").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toPandas()
+        thresholds = found[found["threshold"] >= 0].sort_values("threshold")["z"].to_numpy() / total
+        found = found[found["threshold"] < 0]
+        hashes = found["hash"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(hashes)
+        fit = Fit(thresholds, hashes[order], found["z"].to_numpy()[order] / total, found["n"].to_numpy()[order] / total)
         shared.unpersist()
     weights = fit.weights()
     store.drop(sample)
