@@ -65,6 +65,18 @@ def unreported(files: DataFrame, findings: DataFrame, count: int = fv.SAMPLE_FIL
     )
 
 
+# One root cause may own a third of all findings, and root causes are narrow rows: they are repeated for a few shares
+# into which their findings are dealt, so no task gets all findings of one.
+SHARES = 8
+
+
+def _with_roots(members: DataFrame, roots: DataFrame, by: str) -> DataFrame:
+    """Members of root causes with the columns of ``roots``; a member's share follows from the column ``by``."""
+    dealt = members.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(SHARES)).cast("int"))
+    repeated = roots.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return dealt.join(repeated, ["repo", "root_cause_id", "_share"]).drop("_share")
+
+
 def handoff(root_causes: DataFrame, findings: DataFrame) -> DataFrame:
     """(repo, root_cause_id, priority, finding_id, path, reason): context asked for per root cause.
 
@@ -78,7 +90,7 @@ def handoff(root_causes: DataFrame, findings: DataFrame) -> DataFrame:
     )
     members = findings.select("repo", "root_cause_id", F.col("id").alias("finding_id"),
                               F.col("file_path").alias("path"), "emit_seq")
-    return members.join(roots, ["repo", "root_cause_id"]).select(
+    return _with_roots(members, roots, "finding_id").select(
         "repo", "root_cause_id", "priority", "finding_id", "path",
         F.lit(fv.HANDOFF_REASON).alias("reason"), "emit_seq",
     )
@@ -108,4 +120,4 @@ def summary_locations(root_causes: DataFrame, findings: DataFrame) -> DataFrame:
         "repo", "root_cause_id", "title", "root_cause_type", "instance_count")
     location = F.concat_ws(":", F.col("file_path"), F.col("start_line").cast("string"))
     places = findings.select("repo", "root_cause_id", location.alias("location")).distinct()
-    return places.join(roots, ["repo", "root_cause_id"])
+    return _with_roots(places, roots, "location").select(*roots.columns, "location")

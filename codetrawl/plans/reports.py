@@ -198,7 +198,7 @@ def metadata(files: DataFrame, skipped: DataFrame, frameworks: DataFrame, target
     return by_language.crossJoin(skipped.agg(F.count("*").alias("files_skipped"))).crossJoin(names).select(
         F.lit(target).alias("target"), F.current_timestamp().alias("started_at"),
         "files_scanned", "files_skipped", "languages", "frameworks",
-        F.lit(options.redact).alias("redaction"), F.lit(options.snippets).alias("snippets"))
+        F.lit(options.quotes.hide_secrets).alias("redaction"), F.lit(options.quotes.lines > 0).alias("snippets"))
 
 
 # --- writing -----------------------------------------------------------------------------------

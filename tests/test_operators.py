@@ -225,3 +225,21 @@ def test_long_java_lines(spark):
     start = time.time()
     assert {r.name for r in frame.select(graph.declared_name(F.col("line"), F.lit("java")).alias("name")).collect()} == {None, "a"}
     assert time.time() - start < 30
+
+
+def test_one_root_cause_with_most_findings(spark, source):
+    found = scan_files(source(("a.py", PY), ("b.py", PY), ("c.py", "eval(x)\n"))).cache()
+    many = found.join(spark.range(300).withColumnRenamed("id", "_n")).filter((F.col("_n") == 0) | (F.col("rule_id") == "WB.SECRET.HARDCODED"))
+    many = many.withColumn("id", F.concat("id", F.col("_n").cast("string"))).drop("_n")
+    roots = correlate.root_causes(many)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = compare.handoff(roots, many)
+        assert rows.count() == many.count() == rows.select("finding_id").distinct().count()
+        places = compare.summary_locations(roots, many)
+        wanted = many.join(roots.select("root_cause_id", "root_cause_type"), "root_cause_id").filter(
+            ~F.col("root_cause_type").isin("review_point", "informational_inventory"))
+        assert places.count() == wanted.select("root_cause_id", "file_path", "start_line").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
