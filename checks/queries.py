@@ -41,6 +41,8 @@ def scratch(spark: SparkSession) -> str:
     """A new folder that every executor sees: below the shared one the cluster names."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix="codetrawl-")
     return f"{base.rstrip('/')}/codetrawl-{uuid.uuid4().hex}"
 
@@ -154,15 +156,16 @@ def _write_files(batches):
             os.makedirs(os.path.dirname(target), exist_ok=True)
             with open(target, "w", encoding="utf-8", newline="") as handle:
                 handle.write(text)
-        yield pd.DataFrame({"n": [len(batch)]})
+        yield batch[["root"]].drop_duplicates()
 
 
 def _walk(spark: SparkSession, sf: str) -> DataFrame:
     """Writes the corpus as a tree of files, then reads the tree."""
-    base = scratch(spark)
+    base = scratch(spark).removeprefix("file://")
     files = corpus.files(spark, sf).select(F.concat(F.lit(base + "/"), F.col("repo")).alias("root"), "path", "text")
-    files.mapInPandas(_write_files, "n long").agg(F.sum("n")).collect()
-    roots = {repo: f"{base}/{repo}" for repo in sorted(os.listdir(base))}
+    # one row per repository tells which trees were written
+    written = files.mapInPandas(_write_files, "root string").distinct().collect()
+    roots = {os.path.basename(r.root): r.root for r in sorted(written)}
     scanned = fs.source_files(fs.classify(fs.read_tree(spark, roots)))
     return scanned.select("repo", "path", "language", "size", F.length("text").cast("bigint").alias("chars"),
                           "code_surface")
