@@ -19,31 +19,38 @@ def line_key(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def boilerplate(docs: DataFrame, *, text: str = "text", host: str = "source", ratio: float = 0.05, min_pages: int = 3) -> DataFrame:
+def boilerplate(docs: DataFrame, *, text: str = "text", host: str = "source", ratio: float = 0.05, min_pages: int = 3,
+                copies_once: bool = False) -> DataFrame:
     """(host, keys): the lines of a site that exceed the ratio.
 
+    With `copies_once` pages of a site with equal texts (64 bits) count as one page, in the lines and in the total.
+
     A site has fewer than (mean distinct lines of its pages) / ratio such lines, so `keys` does not grow with the site.
     Lines are counted once a page, by map-side sums; no task ever holds a whole site.
     """
     pages = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    lines = pages.select("host", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), line_key))).alias("key"))
-    often = (lines.where("key is not null").groupBy("host", "key").agg(F.count("*").alias("found"))
+    if copies_once:
+        pages = pages.withColumn("page", F.xxhash64("text"))
+    counted = F.count_distinct("page") if copies_once else F.count("*")
+    totals = pages.groupBy("host").agg(counted.alias("pages"))
+    lines = pages.select("host", *pages.columns[2:], F.explode(F.array_distinct(F.transform(F.split("text", "\n"), line_key))).alias("key"))
+    often = (lines.where("key is not null").groupBy("host", "key").agg(counted.alias("found"))
              .where(F.col("found") >= min_pages))
     return (often.join(totals, "host").where(F.col("found") > F.lit(ratio) * F.col("pages"))
             .groupBy("host").agg(F.collect_list("key").alias("keys")))
 
 
-def drop_site_lines(docs: DataFrame, *, text: str = "text", host: str = "source", ratio: float = 0.05, min_pages: int = 3) -> DataFrame:
+def drop_site_lines(docs: DataFrame, *, text: str = "text", host: str = "source", ratio: float = 0.05, min_pages: int = 3,
+                    copies_once: bool = False) -> DataFrame:
     """`docs` without the boilerplate lines of their sites, with n_lines and n_dropped (columns of these names are replaced).
 
     Lines are cut at \\n and compared without blanks around them; blank lines are neither counted nor dropped; all
     occurrences of a boilerplate line go, other lines keep their bytes. Pages count once for every row, whatever their
-    ids; null and empty hosts are one site; a null text stays null and has no lines; an empty table stays empty.
+    ids, or with `copies_once` once for every distinct text of a site, so that copies never make each other boilerplate; null and empty hosts are one site; a null text stays null and has no lines; an empty table stays empty.
     The small table of boilerplate is written first, so that Spark broadcasts it only if its real size allows that.
     """
     store = Stored(docs.sparkSession, "line_dedup")
-    found = store.put(boilerplate(docs, text=text, host=host, ratio=ratio, min_pages=min_pages)).select(
+    found = store.put(boilerplate(docs, text=text, host=host, ratio=ratio, min_pages=min_pages, copies_once=copies_once)).select(
         F.col("host").alias("_site"), F.col("keys").alias("_keys"))
     rows = docs.join(found, F.coalesce(docs[host].cast("string"), F.lit("")) == F.col("_site"), "left")
     # a blank line has a null key, of which array_contains says null

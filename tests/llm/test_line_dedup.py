@@ -34,3 +34,14 @@ def test_equals_brute_force(spark):
     assert got.columns == ["doc_id", "source", "text", "n_lines", "n_dropped"]
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()), key=str) == plain(rows, 0.1, 3)
     assert drop_site_lines(frame.limit(0)).count() == 0
+
+
+def test_copies_count_once_if_asked_for(spark):
+    rows = [(i, "a", f"menu\nown {i}") for i in range(40)] + [(100 + i, "a", "menu\nfirst of the copy\nsecond of the copy") for i in range(20)]
+    rows += [(200 + i, "b", "only text\nof its site") for i in range(5)] + [(300, "b", None), (301, "b", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in drop_site_lines(frame, copies_once=True).collect()), key=str)
+    distinct = {(host, text): i for i, host, text in rows}
+    texts = {i: r for i, *r in plain([(i, *k) for k, i in distinct.items()], 0.05, 3)}
+    assert got == sorted(((i, *texts[distinct[host, text]]) for i, host, text in rows), key=str)
+    assert (100, "first of the copy\nsecond of the copy", 3, 1) in got and (200, "only text\nof its site", 2, 0) in got
