@@ -11,6 +11,7 @@ shuffled.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
@@ -42,20 +43,32 @@ _PIECES = re.compile(
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit numbers, with the ids of pieces remembered up to a bound.
 
-    `path` names a vocabulary as ranks. Special tokens in a text are ordinary text.
+    `path` names a vocabulary as ranks. `added` names the tokenizer's JSON file: where one of its added tokens stands in
+    a text, it is that token's id and cuts the text, as with `tokenizers`. Without it a text is ordinary throughout.
     """
 
-    def __init__(self, path: str, remembered: int = 250_000):
+    def __init__(self, path: str, remembered: int = 250_000, added: str | None = None):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
         self.remembered = remembered
+        self.added = added_tokens(added) if added else {}
+        # longest first, as one token may begin another
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.encoding.encode_ordinary(text)).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        if not any(token in t for token in self.added for t in texts):
+            return self._ordinary(texts)
+        # ordinary parts and added tokens alternate
+        parts = [self.cut.split(t) for t in texts]
+        ordinary = iter(self._ordinary([part for own in parts for part in own[::2]]))
+        return [b"".join(self.added[part] if k % 2 else next(ordinary) for k, part in enumerate(own)) for own in parts]
+
+    def _ordinary(self, texts: list[str]) -> list[bytes]:
         pieces = [None if _UNUSUAL.search(t) else _PIECES.findall(t) for t in texts]
         unknown = set().union(*filter(None, pieces)).difference(self.known)
         if len(self.known) + len(unknown) > self.remembered:
@@ -66,6 +79,15 @@ class Encoder:
         return [self._encode(t) if p is None else b"".join(map(known, p)) for t, p in zip(texts, pieces)]
 
 
+def added_tokens(path: str) -> dict[str, bytes]:
+    """The added tokens of a tokenizer's JSON file with their ids."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens):
+        raise ValueError("added tokens that take blanks, stand alone or are normalised are not supported")
+    return {t["content"]: array("I", [t["id"]]).tobytes() for t in tokens}
+
+
 class Tiers:
     """Documents (or their tails) that wait, by tier and within it by length."""
 
@@ -166,10 +188,10 @@ PIECES = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 
 
 def pack(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text", longest: int = 2048,  # noqa: A002
-         smallest: int = 128, per_step: int = 16) -> DataFrame:
+         smallest: int = 128, per_step: int = 16, added: str | None = None) -> DataFrame:
     """One row for each piece: the id, start and length in the document's ids, their CRC-32, and the place in a sequence.
 
-    A document is its ids and the end id; a null text is empty and still has the end id. Every sequence is full or has
+    `tokenizer` and `added` are files as in Encoder. A document is its ids and the end id; a null text is empty and still has the end id. Every sequence is full or has
     a power of two as its length, so nothing is padded. Sequence ids hold the task's number in the upper bits; tier is
     the size of the shortest context that would hold the piece. Repeated rows are packed each for itself; an id may be
     null; an empty table gives no pieces. Very long texts are cut into full sequences first.
@@ -181,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "te
     names = [id, *(x.split()[0] for x in PIECES.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = _encoder(tokenizer), TaskContext.get().partitionId() << 36
+        encoder, task = _encoder(tokenizer, added), TaskContext.get().partitionId() << 36
         held: list[tuple] = []  # (id, ids, first id that is not packed yet)
         tokens, sequences_so_far, groups_so_far = 0, 0, 0
         end = array("I", [END_ID]).tobytes()
@@ -222,11 +244,11 @@ def pack(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "te
     return docs.select(F.col(id), F.col(text)).mapInArrow(run, schema)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, str | None], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str, added: str | None) -> Encoder:
     """One encoder for a Python worker, which serves many tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, added) not in _encoders:
+        _encoders[path, added] = Encoder(path, added=added)
+    return _encoders[path, added]

@@ -67,7 +67,7 @@ def op6_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pack(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), added=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:

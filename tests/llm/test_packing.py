@@ -78,3 +78,22 @@ def test_blocks_keep_tails(monkeypatch):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_added_tokens_are_those_of_the_json():
+    plain = Tokenizer.from_file(JSON)  # no setting changed
+    encoder = packing.Encoder(PATH, added=JSON)
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  ", "x \n<|endoftext|>\n y", "<|endoftext|", "<|ENDOFTEXT|>", "日<|endoftext|>本 "]
+    part = [*odd, *(t or "" for t in texts())]
+    assert [np.frombuffer(ids, dtype="<u4").tolist() for ids in encoder.ids(part)] == [plain.encode(t, add_special_tokens=False).ids for t in part]
+    assert np.frombuffer(encoder.ids(odd[:1])[0], dtype="<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_query_packs_added_tokens(spark, tmp_path):
+    from codetrawl.llm.queries import op7_packing
+
+    spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = op7_packing(spark, str(tmp_path)).collect()
+    ids = np.array([64, 220, 50256, 275, 1], dtype="<u4")
+    assert {r.doc_tokens for r in rows} == {5} and sum(r.length for r in rows) == 5
+    assert all(r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes()) for r in rows)
