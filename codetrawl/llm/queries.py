@@ -17,6 +17,7 @@ from .packing import pack
 from .quality_rules import judge
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .spelling import spelling_variants, word_counts
 from .suffix_dedup import without_repeats
 from .url_filter import url_verdicts
 
@@ -78,6 +79,10 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return without_repeats(table(spark, sf, "documents"), keep=["doc_id"], digest=True)
 
 
+def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf, "documents"), typo_every=31))
+
+
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = drop_site_lines(table(spark, sf, "documents"))
     return docs.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -94,4 +99,5 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op9_line_dedup": op9_line_dedup,
+    "op11_spelling": op11_spelling,
 }
