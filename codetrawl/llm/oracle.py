@@ -105,3 +105,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR word_chars > 15 * n_words OR 10 * named < 6 * n_words OR 2 * capitals > letters OR 10 * most > 3 * n_words) AS kept
 FROM based
 """
+
+# Phrases as lists of words; every window of one to four words is counted.
+ORACLE["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda x: x <> '') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), grams AS (
+  SELECT lang, size, ws[i:i + size - 1] AS g, count(*) AS f
+  FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM pieces, (VALUES (1), (2), (3), (4)) sizes(size))
+  GROUP BY lang, size, ws[i:i + size - 1]
+), candidates AS (
+  SELECT * FROM grams WHERE size > 1 AND f >= 30
+), cuts AS (
+  SELECT c.lang, c.size, c.g, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+  JOIN grams x ON x.lang = c.lang AND x.size = c.k AND x.g = c.g[1:c.k]
+  JOIN grams y ON y.lang = c.lang AND y.size = c.size - c.k AND y.g = c.g[c.k + 1:c.size]
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), inside AS (
+  SELECT DISTINCT lang, part AS g, f FROM (
+    SELECT lang, f, size, n, g[pos:pos + n - 1] AS part
+    FROM (SELECT *, unnest(range(1, size - n + 2)) AS pos FROM candidates, (VALUES (2), (3)) shorter(n) WHERE n < size))
+), longest AS (
+  SELECT lang, g, max(f) AS f FROM inside GROUP BY lang, g
+), kept AS (
+  SELECT c.* FROM lowest c LEFT JOIN longest i ON i.lang = c.lang AND i.g = c.g WHERE i.f IS NULL OR 100 * i.f < 80 * c.a
+), total AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE size = 1 GROUP BY lang
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM (SELECT *, array_to_string(g, ' ') AS phrase FROM kept))
+JOIN total USING (lang) WHERE rank <= 2000
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality_classifier
+from .collocations import collocations
 from .decontaminate import contamination
 from .language_id import held_out, predict, train
 from .line_dedup import drop_site_lines
@@ -83,6 +84,10 @@ def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
     return spelling_variants(word_counts(table(spark, sf, "documents"), typo_every=31))
 
 
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations(table(spark, sf, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = drop_site_lines(table(spark, sf, "documents"))
     return docs.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -100,4 +105,5 @@ QUERIES: dict[str, Query] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op11_spelling": op11_spelling,
+    "op12_collocations": op12_collocations,
 }
