@@ -140,3 +140,17 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM (SELECT *, array_to_string(g, ' ') AS phrase FROM kept))
 JOIN total USING (lang) WHERE rank <= 2000
 """
+
+# The given pages hold one article element each, of headings and paragraphs; regular expressions read those.
+ORACLE["op13_html_text"] = r"""
+WITH blocks AS (
+  SELECT page_id, url, list_transform(
+    regexp_split_to_array(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?b>', '', 'g'), '</?(?:p|h1)>'),
+    lambda x: trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      x, '<[^>]*>', ' ', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), chr(160), ' '), '\s+', ' ', 'g'))) AS parts
+  FROM (SELECT page_id, url, coalesce(html, '') AS html FROM pages)
+), texts AS (
+  SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM blocks
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
+"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import quality_classifier
 from .collocations import collocations
 from .decontaminate import contamination
+from .html_text import extract_text
 from .language_id import held_out, predict, train
 from .line_dedup import drop_site_lines
 from .oracle import ORACLE  # noqa: F401
@@ -88,6 +89,10 @@ def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return collocations(table(spark, sf, "documents"))
 
 
+def op13_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_text(table(spark, sf, "pages"), keep=["page_id", "url"])
+
+
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = drop_site_lines(table(spark, sf, "documents"))
     return docs.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -106,4 +111,5 @@ QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9_line_dedup,
     "op11_spelling": op11_spelling,
     "op12_collocations": op12_collocations,
+    "op13_html_text": op13_html_text,
 }
