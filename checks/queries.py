@@ -15,7 +15,7 @@ from codetrawl import Kept, ScanOptions, Sources, scan_files
 from codetrawl import fixed_values as fv
 from codetrawl.functions import paths
 from codetrawl.functions import text as tx
-from codetrawl.operators import compare, correlate, enrich, graph, inventory, rules
+from codetrawl.operators import authz, compare, correlate, enrich, graph, inventory, rules
 from codetrawl.operators.lines import raw_lines, source_lines
 from codetrawl.plans import reports
 from codetrawl.plans.scan import local_findings
@@ -499,6 +499,27 @@ def _add_rule(name: str, variants) -> None:
 for _entry in fv.GENERIC_RULES:
     _add_rule(_entry[0], (_entry[0], "r_random_plain") if _entry[0] == "r_random" else (_entry[0],))
 _add_rule("r_py_authz", ("r_py_authz",))
+
+# What only a parser sees, behind the Python files of the corpus: a file that does not parse, a string whose lines begin
+# at column 0 inside a function and a decorator outside of it, a comment behind a function of one line.
+_BROKEN = "def delete_broken(:\n"
+_SPANNING = '@require_role("x")\ndef transfer_all(y):\n    text = """\nowner at column 0\n"""\n    send(text)\n'
+_ONE_LINE = "def login_now(x): return x  # owner checked\n"
+
+
+def _parsed_functions(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.floor(F.regexp_extract("path", r"/f(\d+)\.", 1).cast("long") / 5) % 4
+    more = F.when(kind == 0, _BROKEN).when(kind == 1, _SPANNING).when(kind == 2, _ONE_LINE).otherwise("")
+    files = corpus.files(spark, sf).withColumn("text", F.concat("text", more))
+    return authz.functions_without_control(files).select("repo", "path", F.col("line_no").cast("bigint").alias("line_no"), "function")
+
+
+add("r_py_authz_parsed", _parsed_functions, f"""WITH {findings_ctes(frozenset({'r_py_authz'}))}
+    SELECT a.repo, a.path, a.n::BIGINT AS line_no, a.function FROM authz a JOIN files f ON f.repo = a.repo AND f.path = a.path
+    WHERE f.doc_id // 5 % 4 <> 0
+    UNION ALL
+    SELECT l.repo, l.path, max(l.n)::BIGINT + 1, 'login_now' FROM lines l JOIN files f ON f.repo = l.repo AND f.path = l.path
+    WHERE f.language = 'python' AND f.doc_id // 5 % 4 = 2 GROUP BY l.repo, l.path""")
 for _name, _variants in {
     "j_secret_assign": ("j_secret_assign",),
     "j_secret_awsctor": ("j_secret_awsctor", "j_secret_awsctor_test"),

@@ -1,17 +1,21 @@
 """Sensitive Python functions without an observable authorization control.
 
-A function is a declaration line and the lines after it up to the next non-blank line that
-is indented no deeper (closing brackets of a long signature do not end it). The body test
-needs no nested loop: lines are cut into blocks at the lines that hold a control marker, and
-a function lacks a control if the text ends, or a line indented no deeper comes, before the
-marker that closes its block. Files that do not parse and multi-line strings at column 0 are
-seen as they are written, not as a parser would see them.
+What a function is, and where it ends, is what Python's own parser says: strings over several lines, decorators, one-line
+bodies and continuation lines need no rules here, and a file that does not parse has no functions. Only files in which a
+sensitive name is declared are handed to the parser, their text alone and a batch at a time; it gives back the lines of
+the functions in question. Everything else, evidence included, stays with the table of files, so there is no shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import ast
+import re
+import warnings
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed_values as fv
 from ..functions import paths
@@ -19,52 +23,57 @@ from ..functions import text as tx
 from ..functions.sqltext import lit
 from . import rules
 
-_DECLARATION = r"^([ \t]*)(?:async\s+)?def\s+([A-Za-z_]\w*)"
 _SENSITIVE_FILE = r"(?i)def\s+\w*(?:delete|update|admin|transfer|password|login)"
+_FOUND = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("function", T.StringType())]))
+_FOUND_ARROW = pa.list_(pa.struct([("line_no", pa.int32()), ("function", pa.string())]))
+_BREAK = re.compile(rb"(?<=\n)|(?<=\r)(?!\n)")
+_NAME = re.compile(fv.AUTHZ_FUNCTION_NAME)
+_MARKERS = [m.encode() for m in fv.AUTHZ_MARKERS]
+
+
+def uncontrolled(text: str) -> list[dict]:
+    """Line and name of each sensitive function whose source, decorators aside, names no control."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    lines: list[bytes] | None = None
+    found = []
+    for node in ast.walk(tree):
+        if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) or not _NAME.search(node.name):
+            continue
+        # places within a line are counted in bytes
+        lines = lines if lines is not None else _BREAK.split(text.encode())
+        own = lines[node.lineno - 1:node.end_lineno]
+        own[-1] = own[-1][:node.end_col_offset]
+        own[0] = own[0][node.col_offset:]
+        source = b"".join(own).decode().lower().encode()
+        if not any(m in source for m in _MARKERS):
+            found.append({"line_no": node.lineno, "function": node.name})
+    return found
+
+
+@F.arrow_udf(_FOUND)
+def _uncontrolled(texts: pa.Array) -> pa.Array:
+    return pa.array([[] if text is None else uncontrolled(text) for text in texts.to_pylist()], _FOUND_ARROW)
 
 
 def functions_without_control(files: DataFrame, snippet_lines: int = fv.SNIPPET_LINES, snippets: bool = True,
                               hide: bool = True) -> DataFrame:
     """(repo, path, code_surface, line_no, function, evidence) of the functions in question."""
     python = files.filter((F.col("language") == "python") & tx.matches(F.col("text"), _SENSITIVE_FILE))
-    lines = python.select(
-        "repo", "path", "code_surface", tx.split_lines(tx.normal_breaks(F.col("text"))).alias("raw_lines")
-    )
-    line_no = F.col("_pos") + 1
-    raw = F.col("raw")
-    sensitive = tx.matches(F.col("name"), fv.AUTHZ_FUNCTION_NAME)
-    # evidence is cut where the arrays are at hand; only narrow columns go into the window
-    narrow = (
-        lines.select("repo", "path", "code_surface", "raw_lines", F.posexplode(tx.computed("raw_lines")).alias("_pos", "raw"))
-        .select(
-            "repo", "path", "code_surface", line_no.alias("line_no"),
-            tx.extract(raw, _DECLARATION, 2).alias("name"),
-            F.length(F.regexp_extract(raw, r"^([ \t]*)", 1)).alias("indent"),
-            (~tx.matches(raw, r"^\s*(?:[)\]}]|$)")).alias("ends"),
-            tx.contains_any(F.lower(raw), fv.AUTHZ_MARKERS).alias("marker"),
-            F.when(tx.matches(tx.extract(raw, _DECLARATION, 2), fv.AUTHZ_FUNCTION_NAME),
-                   tx.snippet(F.col("raw_lines"), line_no, snippet_lines, snippets, hide)).alias("evidence"),
-        )
-    )
-    # a marker line closes the block of the lines before it
-    by_file = Window.partitionBy("repo", "path").orderBy("line_no")
-    blocks = narrow.withColumn(
-        "block",
-        F.coalesce(F.sum(F.col("marker").cast("long"))
-                   .over(by_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    )
-    by_block = Window.partitionBy("repo", "path", "block").orderBy(F.col("line_no").desc())
-    later = by_block.rowsBetween(Window.unboundedPreceding, -1)
-    judged = blocks.withColumns({
-        "least": F.min(F.when(F.col("ends"), F.col("indent"))).over(later),
-        "closed": F.max(F.col("marker").cast("int")).over(
-            by_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-    })
-    ended = F.coalesce(F.col("least") <= F.col("indent"), F.lit(False))
-    own_marker = F.col("marker")
-    uncontrolled = ~own_marker & ((F.col("closed") == 0) | ended)
-    return judged.filter((F.col("name") != "") & sensitive & uncontrolled).select(
-        "repo", "path", "code_surface", "line_no", F.col("name").alias("function"), "evidence"
+    judged = python.select("repo", "path", "code_surface", "text", _uncontrolled(F.col("text")).alias("found")).filter(F.size("found") > 0)
+    lines = tx.split_lines(tx.normal_breaks(F.col("text"))).alias("raw_lines")
+    line_no = F.col("item.line_no")
+    return (
+        judged.select("repo", "path", "code_surface", lines, "found")
+        # evidence is cut where the array is at hand, not behind the explosion
+        .select("repo", "path", "code_surface", F.explode(F.transform("found", lambda f: F.struct(
+            f.line_no.alias("line_no"), f.function.alias("function"),
+            tx.snippet(F.col("raw_lines"), f.line_no, snippet_lines, snippets, hide).alias("evidence")))).alias("item"))
+        .select("repo", "path", "code_surface", line_no, "item.function", "item.evidence")
     )
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codetrawl import Kept, Quotes, ScanOptions, scan_files
+from codetrawl.operators import authz
 from codetrawl.operators.rules import CustomRule
 from codetrawl.plans.scan import local_findings
 
@@ -138,6 +139,32 @@ def test_functions_without_control(source):
     assert {(r.start_line, r.function) for r in found.collect()} == {(1, "delete_user"), (10, "login"), (13, "transfer")}
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ("def delete_user(:\n", []),
+    ("def delete_user(a):\n    return (1\n\ndef update(b):\n    pass\n", []),
+    ("def delete_user(a):\n\tx = 1\n        y = 2\n", []),
+    ("def delete_user(a):\n    s = \"\"\"open\n", []),
+    ("def delete_user(a):\n    s = \"\"\"\nowner\n\"\"\"\n    return s\n", []),
+    ("def delete_user(a):\n    s = \"\"\"\nnobody\n\"\"\"\n    return a\n", [(1, "delete_user")]),
+    ("@role\n@cached(\n  1)\ndef delete_user(a):\n    return a\n", [(4, "delete_user")]),
+    ("def delete_user(a): return a  # owner\n# tenant\n", [(1, "delete_user")]),
+    ("def delete_user(a): check(a); return a\\\n  + owner\n", []),
+    ("class A:\n  async def update(\n self, param=1): pass\n  def Admin(self): pass\n", [(4, "Admin")]),
+    ("x = \"def delete_user(a): pass\"\n", []),
+    ("def löschen_delete(a):\n    ö = 1; return ö\n", [(1, "löschen_delete")]),
+    ("if 1:\r\n    def login(a):\r\n        return 1\r\n", [(2, "login")]),
+    ("def delete_user(a):\n    return 1\x00\n", []),
+])
+def test_functions_are_what_the_parser_says(source, text, found):
+    functions = authz.functions_without_control(source(("a.py", text)))
+    assert sorted((r.line_no, r.function) for r in functions.collect()) == found
+
+
+def test_lines_of_a_file_that_does_not_parse_are_still_judged(source):
+    found = local_findings(source(("a.py", "eval(request.args)\ndef delete_user(:\n")))
+    assert {r.rule_id for r in found.collect()} and "WB.AUTHZ.MISSING_OBSERVABLE_CONTROL" not in {r.rule_id for r in found.collect()}
+
+
 def test_shadowed_secret_comes_back_when_the_later_one_is_filtered(source):
     line = 'String token = "longenough"; Object c = new BasicAWSCredentials("aaaaaaaa", "bbbbbbbb");\n'
     files = source(("src/test/A.java", line))
