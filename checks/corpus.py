@@ -273,7 +273,10 @@ def _escaped(text):
 
 
 def files(spark: SparkSession, sf_dir: str, snapshot: str | None = None) -> DataFrame:
-    """The source_files table of the corpus; ``snapshot`` is None, 'old' or 'new'."""
+    """The source_files table of the corpus; ``snapshot`` is None, 'old', 'new' or 'plain'.
+
+    In 'plain' every ninth document is a file of comments only, without any line of a template.
+    """
     docs = spread_few(documents(spark, sf_dir), "doc_id")
     if snapshot == "old":
         docs = docs.filter(F.col("doc_id") % 11 != 0)
@@ -289,6 +292,8 @@ def files(spark: SparkSession, sf_dir: str, snapshot: str | None = None) -> Data
     if snapshot == "new":
         body = F.when(F.col("doc_id") % 7 == 0,
                       F.replace(body, F.lit("\n" + CHANGED_FROM), F.lit("\n" + CHANGED_TO))).otherwise(body)
+    if snapshot == "plain":
+        body = F.when(F.col("doc_id") % 9 == 0, F.concat(_pick(kind, COMMENT_MARKS), F.lit("@COMMENT@\n"))).otherwise(body)
     body = F.replace(body, F.lit("@LITERAL@"), _escaped(F.col("text")))
     body = F.replace(body, F.lit("@COMMENT@"), comment)
     return docs.select(
@@ -315,6 +320,8 @@ def files_sql(snapshot: str | None = None) -> str:
     if snapshot == "new":
         body = (f"CASE WHEN doc_id % 7 = 0 THEN replace({body}, chr(10) || {_sql(CHANGED_FROM)}, "
                 f"chr(10) || {_sql(CHANGED_TO)}) ELSE {body} END")
+    if snapshot == "plain":
+        body = f"CASE WHEN doc_id % 9 = 0 THEN {_sql_pick(kind, COMMENT_MARKS)} || '@COMMENT@' || chr(10) ELSE {body} END"
     escaped = "text"
     for char, escape in (("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("''''", "'\\'''"), ("'`'", "'\\`'"),
                          ("chr(10)", "'\\n'")):

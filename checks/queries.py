@@ -973,11 +973,12 @@ add("cmp_changes", _two(compare.changes), f"""WITH {_two_sql()}
 
 
 def _unreported(spark: SparkSession, sf: str) -> DataFrame:
-    return compare.unreported(corpus.files(spark, sf), local_findings(corpus.files(spark, sf), only={"js_render", "r_xml"}))
+    files = corpus.files(spark, sf, "plain")
+    return compare.unreported(files, local_findings(files))
 
 
 _SENSITIVE = "|".join(fv.SAMPLE_KEYWORDS)
-add("cmp_unreported", _unreported, f"""WITH {findings_ctes(frozenset({'js_render', 'r_xml'}), authz=False)}
+add("cmp_unreported", _unreported, f"""WITH {findings_ctes(snapshot="plain")}
     SELECT repo, path AS file_path, {q(fv.SAMPLE_REASON)} AS reason FROM files f
     WHERE regexp_matches(lower(path) || chr(10) || lower(text), '{_SENSITIVE}')
       AND NOT EXISTS (SELECT 1 FROM findings g WHERE g.repo = f.repo AND g.file_path = f.path)

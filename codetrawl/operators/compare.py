@@ -53,11 +53,12 @@ def unreported(files: DataFrame, findings: DataFrame, count: int = fv.SAMPLE_FIL
     """The first ``count`` files in path order that look security-sensitive and have no finding.
 
     The keyword test runs in the scan of the files; the texts stay behind it and only
-    paths meet the findings.
+    paths meet the findings, of which each path travels once from a task. Every task keeps
+    its first ``count`` paths, so no order is made of all files.
     """
     words = "|".join(fv.SAMPLE_KEYWORDS)
     sensitive = files.filter(F.lower("path").rlike(words) | F.lower("text").rlike(words)).select("repo", F.col("path").alias("file_path"))
-    reported = findings.select("repo", "file_path")
+    reported = findings.select("repo", "file_path").distinct()
     return (
         sensitive.join(reported, ["repo", "file_path"], "left_anti")
         .orderBy("file_path", "repo").limit(count)
