@@ -43,9 +43,10 @@ lines AS (
   SELECT rid, host, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM d WHERE text IS NOT NULL
 ), bare AS (SELECT *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS b FROM lines),
-totals AS (SELECT host, count(*) AS pages FROM d GROUP BY host),
+pages AS (SELECT min(rid) AS rid, host FROM d GROUP BY host, text),  -- copies on a site are one page of it
+totals AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
 boiler AS (
-  SELECT host, b FROM bare JOIN totals USING (host) WHERE b <> ''
+  SELECT host, b FROM bare JOIN pages USING (rid, host) JOIN totals USING (host) WHERE b <> ''
   GROUP BY host, b, pages HAVING count(DISTINCT rid) >= 3 AND count(DISTINCT rid) > CAST(0.05 AS DOUBLE) * pages
 ), kept AS (
   SELECT rid, count(*) AS n_lines, count(*) FILTER (WHERE x.b IS NOT NULL) AS n_dropped,

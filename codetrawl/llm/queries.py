@@ -94,7 +94,7 @@ def op13_html_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    docs = drop_site_lines(table(spark, sf, "documents"))
+    docs = drop_site_lines(table(spark, sf, "documents"), copies_once=True)
     return docs.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
