@@ -389,23 +389,35 @@ add("imp_to_finding", _to_finding,
     "SELECT * EXCLUDE (file, event_id) FROM imported")
 
 
+_WRONG_SHAPE = {"gitleaks": '{"findings": []}', "semgrep": '{"results": 5}', "bandit": '{"results": {"a": 1}}', "gosec": '[{"Issues": []}]'}
+
+
 def _import_errors(spark: SparkSession, sf: str) -> DataFrame:
-    documents_ = _semgrep_documents(spark, sf)
-    number = F.regexp_extract("file", r"(\d+)", 1).cast("int")
-    broken = documents_.withColumn("content", F.when(number % 4 == 0, F.concat(F.lit("{"), F.col("content")))
-                                   .otherwise(F.col("content")))
-    errors = results.import_errors(broken, "semgrep").select("repo", "path", "tool", "error")
-    kept = results.semgrep(broken).groupBy("repo", F.col("emit_seq.file").alias("path")).agg(F.count("*").alias("n"))
-    return errors.select("repo", "path", "tool", "error", F.lit(0).cast("bigint").alias("results")).unionByName(
-        kept.select("repo", "path", F.lit("semgrep").alias("tool"), F.lit("").alias("error"),
-                    F.col("n").alias("results")))
+    """Documents of all five tools: every fourth does not parse, every fourth has another shape, every fourth is empty."""
+    number = F.regexp_extract("file", r"(\d+)", 1).cast("int") % 4
+    out = None
+    for tool, (make, read, *_) in _TOOLS.items():
+        broken = make(spark, sf).withColumn("content", F.when(number == 0, F.concat(F.lit("{"), F.col("content")))
+                                            .when(number == 1, F.lit(_WRONG_SHAPE[tool])).when(number == 2, F.lit("")).otherwise(F.col("content")))
+        errors = results.import_errors(broken, tool).select("repo", "path", "tool", "error", F.lit(0).cast("bigint").alias("results"))
+        kept = read(broken).groupBy("repo", F.col("emit_seq.file").alias("path")).agg(F.count("*").alias("n"))
+        rows = errors.unionByName(kept.select("repo", "path", F.lit(tool).alias("tool"), F.lit("").alias("error"), F.col("n").alias("results")))
+        out = rows if out is None else out.unionByName(rows)
+    # of XML another shape is no fault: it holds no bugs
+    bug = F.concat(F.lit('<BugCollection><BugInstance type="'), F.col("file"), F.lit('"/></BugCollection>'))
+    reports_ = _semgrep_documents(spark, sf).withColumn("content", F.when(number == 0, F.replace(bug, F.lit("</BugCollection>"), F.lit("")))
+                                                        .when(number == 1, F.lit("<Report><Item/></Report>")).when(number == 2, F.lit("")).otherwise(bug))
+    return out.unionByName(results.xml_errors(reports_).select("repo", "path", "tool", "error", F.lit(0).cast("bigint").alias("results")))
 
 
 add("imp_errors", _import_errors, """
     WITH d AS (SELECT event_id // 50 AS d, count(*) AS n FROM events GROUP BY 1)
-    SELECT 'app' AS repo, 'doc-' || d AS path, 'semgrep' AS tool,
-           CASE WHEN d % 4 = 0 THEN 'semgrep import failed: not valid JSON' ELSE '' END AS error,
-           CASE WHEN d % 4 = 0 THEN 0 ELSE n END::BIGINT AS results FROM d""")
+    SELECT 'app' AS repo, 'doc-' || d AS path, tool,
+           CASE WHEN d % 4 IN (0, 2) THEN tool || ' import failed: not valid JSON'
+                WHEN d % 4 = 1 THEN tool || ' import failed: not a list of results' ELSE '' END AS error,
+           CASE WHEN d % 4 < 3 THEN 0 ELSE n END::BIGINT AS results
+    FROM d, (VALUES ('semgrep'), ('gitleaks'), ('bandit'), ('gosec')) tools(tool)
+    UNION ALL SELECT 'app', 'doc-' || d, 'findsecbugs', 'findsecbugs import failed: not valid XML', 0 FROM d WHERE d % 4 IN (0, 2)""")
 
 
 def _reread(spark: SparkSession, sf: str) -> DataFrame:
