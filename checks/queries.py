@@ -717,14 +717,35 @@ _SEMGREP_SQL = f"{_events_sql()}, {_imported_sql('semgrep', 'severity', 'confide
 add("p_dedup", _dedup, f"""WITH {_SEMGREP_SQL}, {_DEDUP_SQL}
     SELECT repo, rule_id, file_path, start_line, id, description, first_file, first_pos::BIGINT AS first_pos
     FROM dedup WHERE r = 1""")
-add("p_fail_on", lambda s, sf: enrich.fail_on(local_findings(corpus.files(s, sf)), "medium").select(flag("failed")),
-    f"WITH {findings_ctes()} SELECT coalesce(max((suggested_severity IN ('medium', 'critical'))::INT), 0)::BIGINT AS failed "
-    "FROM findings")
+
+
+def _comments_only(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of the corpus files that hold comments alone: there are none."""
+    number = F.regexp_extract("path", r"/f(\d+)\.", 1).cast("long")
+    return local_findings(corpus.files(spark, sf, "plain").filter(number % 9 == 0))
+
+
+def _both_cases(judge: Callable[[DataFrame], DataFrame], name: str) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        cases = {"all files": local_findings(corpus.files(spark, sf)), "comments only": _comments_only(spark, sf)}
+        rows = [judge(found).select(F.lit(case).alias("case"), flag(name)) for case, found in cases.items()]
+        return rows[0].unionByName(rows[1])
+    return run
+
+
+def _both_cases_sql(condition: str, name: str) -> str:
+    judged = f"coalesce(max(({condition})::INT), 0)::BIGINT AS {name}"
+    return f"""WITH {findings_ctes()}, {findings_ctes(snapshot='plain', prefix='plain_')}
+        SELECT 'all files' AS "case", {judged} FROM findings
+        UNION ALL SELECT 'comments only', {judged} FROM plain_findings
+        WHERE regexp_extract(file_path, '/f([0-9]+)[.]', 1)::BIGINT % 9 = 0"""
+
+
+add("p_fail_on", _both_cases(lambda found: enrich.fail_on(found, "medium"), "failed"),
+    _both_cases_sql("suggested_severity IN ('medium', 'critical')", "failed"))
 _CANDIDATE = in_list("verdict_candidate", fv.CANDIDATE_VERDICTS)
 _REVIEW = in_list("verdict_candidate", fv.REVIEW_VERDICTS)
-add("p_review_exit", lambda s, sf: enrich.review_exit(local_findings(corpus.files(s, sf))).select(
-    flag("has_candidates")),
-    f"WITH {findings_ctes()} SELECT coalesce(max(({_CANDIDATE})::INT), 0)::BIGINT AS has_candidates FROM findings")
+add("p_review_exit", _both_cases(enrich.review_exit, "has_candidates"), _both_cases_sql(_CANDIDATE, "has_candidates"))
 _NOMINAL = ScanOptions(kept=Kept(hidden=("suppressed", "informational_inventory", "review_point")))
 add("p_nominal_filters", lambda s, sf: view(enrich.nominal_filters(local_findings(corpus.files(s, sf)), _NOMINAL)),
     findings_sql(where="verdict_candidate NOT IN ('suppressed', 'informational_inventory', 'review_point')"))

@@ -66,19 +66,26 @@ def unreported(files: DataFrame, findings: DataFrame, count: int = fv.SAMPLE_FIL
     )
 
 
-# One root cause may own a third of all findings, and root causes are narrow rows: they are repeated for a few shares
-# into which their findings are dealt, so no task gets all findings of one.
-SHARES = 8
+# A root cause may own any share of all findings. Those with more findings than this are dealt to several tasks, by count.
+ROWS_A_SHARE = 1 << 20
 
 
-def _with_roots(members: DataFrame, roots: DataFrame, by: str) -> DataFrame:
-    """Members of root causes with the columns of ``roots``; a member's share follows from the column ``by``."""
-    dealt = members.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(SHARES)).cast("int"))
-    repeated = roots.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+def _with_roots(members: DataFrame, roots: DataFrame, by: str, rows_a_share: int) -> DataFrame:
+    """Members of root causes with the columns of ``roots``, which have an ``instance_count``.
+
+    A root cause of many findings is repeated for as many shares as its count asks for, and its members are dealt to them by
+    the column ``by``; all others are joined as they are. What goes to all tasks is a row for each such root cause, and there
+    are fewer than findings / ``rows_a_share`` of them.
+    """
+    shares = F.ceil(F.col("instance_count") / F.lit(rows_a_share)).cast("int")
+    large = roots.filter(F.col("instance_count") > rows_a_share).select("repo", "root_cause_id", shares.alias("_shares"))
+    dealt = (members.join(F.broadcast(large), ["repo", "root_cause_id"], "left")
+             .withColumn("_share", F.pmod(F.xxhash64(by), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares"))
+    repeated = roots.withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1)))
     return dealt.join(repeated, ["repo", "root_cause_id", "_share"]).drop("_share")
 
 
-def handoff(root_causes: DataFrame, findings: DataFrame) -> DataFrame:
+def handoff(root_causes: DataFrame, findings: DataFrame, rows_a_share: int = ROWS_A_SHARE) -> DataFrame:
     """(repo, root_cause_id, priority, finding_id, path, reason): context asked for per root cause.
 
     One row per context entry; a root cause may own any share of the findings, so its entries
@@ -87,11 +94,11 @@ def handoff(root_causes: DataFrame, findings: DataFrame) -> DataFrame:
     high = F.col("root_cause_type").isin(*fv.HIGH_PRIORITY_TYPES)
     roots = root_causes.select(
         "repo", "root_cause_id",
-        F.when(high, F.lit("high")).otherwise(F.lit("normal")).alias("priority"),
+        F.when(high, F.lit("high")).otherwise(F.lit("normal")).alias("priority"), "instance_count",
     )
     members = findings.select("repo", "root_cause_id", F.col("id").alias("finding_id"),
                               F.col("file_path").alias("path"), "emit_seq")
-    return _with_roots(members, roots, "finding_id").select(
+    return _with_roots(members, roots, "finding_id", rows_a_share).select(
         "repo", "root_cause_id", "priority", "finding_id", "path",
         F.lit(fv.HANDOFF_REASON).alias("reason"), "emit_seq",
     )
@@ -111,7 +118,7 @@ def handoff_flat(findings: DataFrame) -> DataFrame:
     )
 
 
-def summary_locations(root_causes: DataFrame, findings: DataFrame) -> DataFrame:
+def summary_locations(root_causes: DataFrame, findings: DataFrame, rows_a_share: int = ROWS_A_SHARE) -> DataFrame:
     """Distinct review locations of every root cause that is more than a review point.
 
     (repo, root_cause_id, title, root_cause_type, instance_count, location) rows; distinct
@@ -121,4 +128,4 @@ def summary_locations(root_causes: DataFrame, findings: DataFrame) -> DataFrame:
         "repo", "root_cause_id", "title", "root_cause_type", "instance_count")
     location = F.concat_ws(":", F.col("file_path"), F.col("start_line").cast("string"))
     places = findings.select("repo", "root_cause_id", location.alias("location")).distinct()
-    return _with_roots(places, roots, "location").select(*roots.columns, "location")
+    return _with_roots(places, roots, "location", rows_a_share).select(*roots.columns, "location")
