@@ -964,7 +964,8 @@ add("g_route_inventory", _routes, f"""WITH {_routes_sql()} SELECT repo, path, li
 
 def _enriched_routes(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus.files(spark, sf)
-    return graph.enrich_routes(files, inventory.frameworks(files)).select(
+    stored = graph.write_graph(files, f"{scratch(spark)}/graph")
+    return graph.enrich_routes(stored, inventory.frameworks(files)).select(
         "repo", "path", F.col("line_no").cast("bigint").alias("line_no"), "method", "route", "framework", "handler",
         joined("related_callees"), "caller_count", "graph_scope")
 
@@ -978,7 +979,7 @@ add("g_enrich_route", _enriched_routes, f"""WITH {_routes_sql()},
            CASE WHEN symbol IS NULL THEN {q(fv.SCOPE_SYNTAX)} ELSE {q(fv.SCOPE_GRAPH)} END AS graph_scope
     FROM routes r LEFT JOIN callees c ON c.repo = r.repo AND c.path = r.path AND c.symbol_line = r.symbol_line
     LEFT JOIN callers k ON k.repo = r.repo AND k.handler = r.symbol""")
-add("g_route_callers", lambda s, sf: graph.route_callers(corpus.files(s, sf)), f"""WITH {_routes_sql()}
+add("g_route_callers", lambda s, sf: graph.route_callers(graph.write_graph(corpus.files(s, sf), f"{scratch(s)}/graph")), f"""WITH {_routes_sql()}
     SELECT DISTINCT e.repo, callee AS handler, e.symbol AS caller FROM edges e
     WHERE EXISTS (SELECT 1 FROM routes r WHERE r.repo = e.repo AND r.symbol = e.callee)""")
 

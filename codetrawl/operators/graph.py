@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import text as tx
 
-# A shorter name is never followed by a parenthesis, so the name can be taken without backtracking.
-_CALL = tx.pattern(fv.CALL.replace("]*)", "]*+)"))
+# What stands before a parenthesis, read backwards: blanks, then all characters a name may have.
+_TAIL = r"\A\s*+([\w$]++)"
+# The name that ``fv.CALL`` takes from those characters.
+_CALLED = fv.CALL.replace("]*)", "]*+)").removesuffix(r"\s*\(") + r"\z"
 
 
 # What the Java expression asks for before a parenthesis: a word, at most brackets and blanks, a blank and the name.
@@ -64,7 +66,8 @@ def declaration_kind(language: Column) -> Column:
 def segments(files: DataFrame) -> DataFrame:
     """(repo, path, language, name, kind, start_line, lines): a file cut at its declarations.
 
-    ``name`` is null for the lines before the first declaration.
+    ``name`` is null for the lines before the first declaration. The cuts are made inside the row of the file, so that
+    a declaration takes its own lines along and nothing else, however many there are.
     """
     language = F.col("language")
     lines = files.select(
@@ -80,37 +83,66 @@ def segments(files: DataFrame) -> DataFrame:
             lambda i: i.isNotNull(),
         ),
     )
-    rows = starts.select("repo", "path", "language", "names", "all_lines", "starts",
-                         F.posexplode(tx.computed("starts")).alias("_pos", "start_line"))
-    end = F.coalesce(F.get("starts", F.col("_pos") + 1), F.size("all_lines") + 1)
-    return rows.select(
-        "repo", "path", "language",
-        F.get("names", F.col("start_line") - 1).alias("name"),
-        declaration_kind(language).alias("kind"),
-        "start_line",
-        F.slice("all_lines", F.col("start_line"), end - F.col("start_line")).alias("lines"),
-    )
+
+    def segment(start: Column, place: Column) -> Column:
+        end = F.coalesce(F.get("starts", place + 1), F.size("all_lines") + 1)
+        return F.struct(F.get("names", start - 1).alias("name"), start.alias("start_line"),
+                        F.slice("all_lines", start, end - start).alias("lines"))
+
+    cut = starts.select("repo", "path", "language", F.transform("starts", segment).alias("segments"))
+    rows = cut.select("repo", "path", "language", F.inline(tx.computed("segments")))
+    return rows.select("repo", "path", "language", "name", declaration_kind(language).alias("kind"), "start_line", "lines")
 
 
 def _calls(lines: Column, name: Column) -> Column:
     """Names called in the lines, each once, in the order first seen, without ``name``.
 
-    The lines are joined by a character that is neither a space nor part of a name, so that
-    no call can reach over a line end.
+    A call ends at a parenthesis, so only what stands right before one is looked at, backwards from there. Lines are
+    taken one by one, so that no call can reach over a line end.
     """
-    called = F.regexp_extract_all(F.array_join(lines, ";"), F.lit(_CALL), F.lit(1))
-    return F.array_remove(F.array_distinct(called), name)
+    pieces = F.flatten(F.transform(F.filter(lines, lambda line: line.contains("(")),
+                                   lambda line: _before_parentheses(F.split(line, r"\("))))
+    tails = F.transform(pieces, lambda piece: F.reverse(tx.extract(F.reverse(piece), _TAIL, 1)))
+    called = F.transform(F.array_distinct(tails), lambda tail: tx.extract(tail, _CALLED, 1))
+    return F.filter(F.array_distinct(called), lambda c: (c != "") & (name.isNull() | (c != name)))
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """(repo, path, name, line_no, kind, calls) of every declaration."""
-    found = segments(files).filter(F.col("name").isNotNull())
-    return found.select(
-        "repo", "path", "name", F.col("start_line").alias("line_no"), "kind",
-        _calls(F.col("lines"), F.col("name")).alias("calls"),
+def _before_parentheses(pieces: Column) -> Column:
+    return F.slice(pieces, 1, F.size(pieces) - 1)
+
+
+def code_graph(files: DataFrame) -> DataFrame:
+    """One row for each segment: (repo, path, name, kind, start_line, calls, route_lines).
+
+    ``calls`` are the names called in a declaration, none above the first one; ``route_lines`` holds (line_no, raw) of the
+    lines with a route marker or a route call. All tables of this module are made of it: write it once and give it in
+    place of the files, and their texts are read once, whatever is asked afterwards.
+    """
+    start, name = F.col("start_line"), F.col("name")
+    placed = F.transform("lines", lambda raw, i: F.struct((start + i).alias("line_no"), raw.alias("raw")))
+    return segments(files).select(
+        "repo", "path", "name", "kind", "start_line",
+        F.when(name.isNotNull(), _calls(F.col("lines"), name)).otherwise(F.array().cast("array<string>")).alias("calls"),
+        F.filter(placed, lambda line: _has_marker(line["raw"]) | _is_route_call(line["raw"])).alias("route_lines"),
     )
 
 
+def write_graph(files: DataFrame, path: str) -> DataFrame:
+    """The code graph, written to a folder that all executors share and read from there."""
+    code_graph(files).write.mode("errorifexists").parquet(path)
+    return files.sparkSession.read.parquet(path)
+
+
+def _graph(table: DataFrame) -> DataFrame:
+    return table if "route_lines" in table.columns else code_graph(table)
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """(repo, path, name, line_no, kind, calls) of every declaration; ``files`` may be their code graph."""
+    found = _graph(files).filter(F.col("name").isNotNull())
+    return found.select("repo", "path", "name", F.col("start_line").alias("line_no"), "kind", "calls")
+
+
 def call_edges(files: DataFrame) -> DataFrame:
     """(repo, path, caller, caller_line, callee, ord): one row per call edge."""
     return symbols(files).select(
@@ -140,31 +172,21 @@ def symbol_at(files: DataFrame) -> DataFrame:
                        .alias("symbol_line"))
 
 
-def _route_lines(files: DataFrame) -> DataFrame:
-    """Lines with a route marker, each with the symbol it is in and that symbol's calls.
-
-    Calls are extracted once per segment, and only for segments that hold a marker.
-    """
-    marked = segments(files).filter(tx.contains_any(F.array_join("lines", "\n"), fv.ROUTE_MARKERS))
-    called = marked.withColumn(
-        "calls",
-        F.when(F.col("name").isNotNull(), F.sort_array(_calls(F.col("lines"), F.col("name"))))
-        .otherwise(F.array().cast("array<string>")),
-    )
-    rows = called.select(
-        "repo", "path", "name", "start_line", "calls", F.posexplode(tx.computed("lines")).alias("_pos", "raw")
-    ).filter(_has_marker())
-    return rows.select("repo", "path", "name", (F.col("start_line") + F.col("_pos")).alias("line_no"), "raw", "calls")
+def _route_lines(files: DataFrame, calls: bool = True) -> DataFrame:
+    """Lines with a route marker or call, each with the symbol it is in and that symbol's calls."""
+    carried = [F.sort_array("calls").alias("calls")] if calls else []
+    marked = _graph(files).filter(F.size("route_lines") > 0)
+    return marked.select("repo", "path", "name", *carried, F.inline(tx.computed("route_lines")))
 
 
 def graph_routes(files: DataFrame) -> DataFrame:
     """(repo, path, line_no, method, route, handler): at most one route per line."""
-    rows = symbol_at(files).filter(tx.matches(F.col("raw"), fv.GRAPH_ROUTE))
+    rows = _route_lines(files, calls=False).filter(_is_route_call(F.col("raw")))
     return rows.select(
         "repo", "path", "line_no",
         F.upper(tx.extract(F.col("raw"), fv.GRAPH_ROUTE, 1)).alias("method"),
         tx.extract(F.col("raw"), fv.GRAPH_ROUTE, 2).alias("route"),
-        F.col("symbol").alias("handler"),
+        F.col("name").alias("handler"),
     )
 
 
@@ -177,8 +199,13 @@ def _route_part(group: int, mapping: Column) -> Column:
     )
 
 
-def _has_marker() -> Column:
-    return tx.contains_any(F.col("raw"), fv.ROUTE_MARKERS)
+def _has_marker(raw: Column) -> Column:
+    return tx.contains_any(raw, fv.ROUTE_MARKERS)
+
+
+def _is_route_call(raw: Column) -> Column:
+    """Does ``fv.GRAPH_ROUTE`` match; it needs a quote, and a comma or parenthesis before it."""
+    return tx.contains_any(raw, "\"'") & tx.contains_any(raw, ",(") & tx.matches(raw, fv.GRAPH_ROUTE)
 
 
 def _route_columns(keep: list[str]) -> list:
@@ -197,7 +224,7 @@ def route_inventory(files: DataFrame, frameworks: DataFrame | None = None) -> Da
     ``frameworks`` holds the (repo, framework) rows of the detector; a route gets the first
     of its repository's that its line names.
     """
-    rows = symbol_at(files).filter(_has_marker())
+    rows = _route_lines(files, calls=False).filter(_has_marker(F.col("raw")))
     routes = rows.select(*_route_columns(["repo", "path", "line_no"]), F.lower("raw").alias("_line"))
     return _with_route_framework(routes, frameworks).drop("_line").withColumns({
         "review_notes": F.lit(fv.ROUTE_NOTES),
@@ -215,16 +242,18 @@ def _with_route_framework(routes: DataFrame, frameworks: DataFrame | None) -> Da
     return joined.withColumn("framework", F.get(named, F.lit(0))).drop("_names")
 
 
-def _handlers(route_lines: DataFrame) -> DataFrame:
-    return route_lines.filter(F.col("name").isNotNull()).select("repo", "name").distinct()
+def _handlers(routes: DataFrame) -> DataFrame:
+    return routes.filter(F.col("name").isNotNull()).select("repo", "name").distinct()
 
 
 def route_callers(files: DataFrame, symbol_table: DataFrame | None = None) -> DataFrame:
     """(repo, handler, caller): who calls the handlers of routes, one row each, however many there are.
 
-    Give a written ``symbol_table`` to save a second pass over the files.
+    Give a written code graph for ``files`` to read it twice instead of the files.
     """
-    edges = callers(symbols(files) if symbol_table is None else symbol_table, _handlers(_route_lines(files)))
+    graph = _graph(files)
+    handlers = _handlers(_route_lines(graph, calls=False).filter(_has_marker(F.col("raw"))))
+    edges = callers(symbols(graph) if symbol_table is None else symbol_table, handlers)
     return edges.select("repo", F.col("name").alias("handler"), "caller")
 
 
@@ -232,15 +261,16 @@ def enrich_routes(files: DataFrame, frameworks: DataFrame | None = None,
                   caller_table: DataFrame | None = None) -> DataFrame:
     """Route inventory with handler, sorted callees of the handler and the number of its callers.
 
-    The callers themselves are rows of ``route_callers``; give that table, written, to save a pass over the files.
+    The callers themselves are rows of ``route_callers``; ``files`` may be a written code graph, which both read.
     """
-    rows = _route_lines(files)
+    graph = _graph(files)
+    rows = _route_lines(graph).filter(_has_marker(F.col("raw")))
     routes = rows.select(
         *_route_columns(["repo", "path", "line_no"]), F.col("name").alias("handler"),
         F.col("calls").alias("related_callees"), F.lower("raw").alias("_line"),
     )
     routes = _with_route_framework(routes, frameworks).drop("_line")
-    edges = route_callers(files) if caller_table is None else caller_table
+    edges = route_callers(graph) if caller_table is None else caller_table
     joined = routes.join(edges.groupBy("repo", "handler").agg(F.count("*").alias("caller_count")), ["repo", "handler"], "left")
     return joined.select(
         "repo", "path", "line_no", "method", "route", "framework", "handler", "evidence", "related_callees",

@@ -2,10 +2,12 @@
 
 import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
 from codetrawl import ScanOptions, Sources, scan_files
+from codetrawl import fixed_values as fv
 from codetrawl.functions import text as tx
 from codetrawl.operators import compare, correlate, enrich, graph, inventory
 from codetrawl.operators.lines import source_lines
@@ -255,3 +257,23 @@ def test_members_of_a_large_root_cause_are_dealt_by_its_count(spark):
     assert few == many and len(few) == len(rows)
     places = compare.summary_locations(causes, findings, 100)
     assert places.count() == len(rows) and places.filter("root_cause_id = 'big'").select("location").distinct().count() == 901
+
+
+def test_calls_equal_the_expression(spark):
+    rng = random.Random(9)
+    odd = ["a", "Z9", "_", "$", "é", "9", " ", "\t", " ", "(", "(", ")", ".", ";", "日", "́", "foo", "bar"]
+    rows = [(i, ["".join(rng.choice(odd) for _ in range(rng.randrange(14))) for _ in range(rng.randrange(4))], rng.choice(["foo", None, "a"]))
+            for i in range(600)]
+    frame = spark.createDataFrame([*rows, (600, ["$x(é$x(9a(", "f (", "(("], None)], "i int, lines array<string>, name string")
+    plain = F.array_distinct(F.regexp_extract_all(F.array_join("lines", ";"), F.lit(tx.pattern(fv.CALL)), F.lit(1)))
+    plain = F.filter(plain, lambda c: F.col("name").isNull() | (c != F.col("name")))
+    got = frame.select("i", graph._calls(F.col("lines"), F.col("name")).alias("got"), plain.alias("plain")).collect()
+    assert all(r.got == r.plain for r in got) and sum(len(r.got) for r in got) > 100
+
+
+def test_tables_of_a_written_graph(spark, source, tmp_path):
+    files = source(("app.py", "@app.get('/x')\ndef fn():\n  g(1)\n  h()\n\ndef caller():\n  fn()\n  router.post('/y', fn)\n"))
+    stored = graph.write_graph(files, str(tmp_path / "graph"))
+    for table in (graph.symbols, graph.call_edges, graph.graph_routes, graph.route_inventory, graph.enrich_routes, graph.route_callers):
+        assert sorted(map(repr, table(stored).collect())) == sorted(map(repr, table(files).collect())) != []
+    assert [(r.line_no, r.raw) for r in graph.symbol_at(files).orderBy("line_no").collect()][0] == (1, "@app.get('/x')")
