@@ -272,7 +272,7 @@ def test_calls_equal_the_expression(spark):
 
 
 def test_tables_of_a_written_graph(spark, source, tmp_path):
-    files = source(("app.py", "@app.get('/x')\ndef fn():\n  g(1)\n  h()\n\ndef caller():\n  fn()\n  router.post('/y', fn)\n"))
+    files = source(("app.py", "@app.get('/x')\ndef fn():\n  g(1)\n  h()\n\ndef caller():\n  fn()\n  router.post('/y', fn)\n\ndef top():\n  caller()\n"))
     stored = graph.write_graph(files, str(tmp_path / "graph"))
     for table in (graph.symbols, graph.call_edges, graph.graph_routes, graph.route_inventory, graph.enrich_routes, graph.route_callers):
         assert sorted(map(repr, table(stored).collect())) == sorted(map(repr, table(files).collect())) != []
