@@ -1,11 +1,15 @@
 """Hierarchical packing of tokenised documents into sequences of several context sizes.
 
-Each task tokenises its documents, routes them to tiers by length (powers of two up to the longest context), packs
-every tier, fills the gaps that long windows leave with documents of shorter tiers, longest fit first, and then with
-the head of one more document, and deals full sequences to step groups of equal size so that no group gets all the
-costly ones. A task holds one block of tokens at a time and cuts what is left over at its end into powers of two, so
-padding does not depend on how many tasks there are; only token counts and checksums leave a task, and no row is
-shuffled.
+Each task tokenises its documents and routes what remains of them behind full longest windows to tiers by length (powers
+of two up to the longest context). Every tier is packed into windows of its own size, longest tier first: a document of
+the tier opens a window, documents of shorter tiers fill its gap, longest fit first, and then the head of one more
+document. So every window is full, whatever its size. A task holds one block of tokens at a time and cuts what is left
+over at its end into powers of two, so padding does not depend on how many tasks there are. Only token counts and
+checksums leave a task.
+
+A training step takes windows of one size, as many as make the same number of tokens. All windows of a size are ranked by
+their attention cost, on narrow rows in a range sort, and dealt to the steps back and forth, so that no step gets all the
+costly ones.
 """
 
 from __future__ import annotations
@@ -24,8 +28,11 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .shared import Stored
+
 BLOCK_TOKENS = 1 << 20
 ROWS_AT_ONCE = 128
 END_ID = 1  # fixed value: the id behind each document
@@ -123,11 +130,15 @@ class Tiers:
                 return length, part
         return None
 
+    def take_shortest(self) -> tuple[int, tuple]:
+        return self.take(next(lengths[0] for lengths in self.lengths if lengths))
+
 
-def packed(documents: list[tuple[int, int]], longest: int, smallest: int, last: bool) -> tuple[list[list[tuple]], list[tuple]]:
-    """Sequences of pieces (document, start, length) and what is left over, from (document, tokens) pairs.
+def packed(documents: list[tuple[int, int, int]], longest: int, smallest: int, last: bool) -> tuple[list[list[tuple]], list[tuple]]:
+    """Sequences of pieces (document, start, length) and what is left over, from (document, first token, tokens).
 
-    Sequences are full; at the end of the input the rest is cut at powers of two, so that it needs no padding either.
+    Sequences are full windows of the size of a tier; at the end of the input the rest is cut at powers of two, so that
+    it needs no padding either.
     """
     sequences, tiers = [], Tiers(smallest, longest)
     for doc, first, tokens in documents:
@@ -135,24 +146,24 @@ def packed(documents: list[tuple[int, int]], longest: int, smallest: int, last:
             sequences.append([(doc, start, longest)])
         if rest := (tokens - first) % longest:
             tiers.add(rest, (doc, tokens - rest))
-    while tiers.count:
-        room, sequence = longest, []
-        while room and (found := tiers.take(room)):
-            length, (doc, start) = found
-            sequence.append((doc, start, length))
-            room -= length
-        if room and tiers.count:  # nothing is short enough: the head of the shortest fills the gap
-            t = next(t for t in range(len(tiers.sizes)) if tiers.lengths[t])
-            length, (doc, start) = tiers.take(tiers.lengths[t][0])
-            sequence.append((doc, start, room))
-            tiers.add(length - room, (doc, start + room))
-            room = 0
-        if room == 0:
-            sequences.append(sequence)
-        elif not last:
-            return sequences, sequence
-        else:
-            sequences += cut_to_powers(sequence)
+    for t in reversed(range(len(tiers.sizes))):
+        while tiers.lengths[t]:  # the longest of the tier opens a window of its size
+            room, window = tiers.sizes[t], []
+            while room and (found := tiers.take(room)):
+                length, (doc, start) = found
+                window.append((doc, start, length))
+                room -= length
+            if room and tiers.count:  # nothing is short enough: the head of the shortest fills the gap
+                length, (doc, start) = tiers.take_shortest()
+                window.append((doc, start, room))
+                tiers.add(length - room, (doc, start + room))
+                room = 0
+            if room == 0:
+                sequences.append(window)
+            elif not last:  # nothing waits any more
+                return sequences, window
+            else:
+                sequences += cut_to_powers(window)
     return sequences, []
 
 
@@ -173,18 +184,32 @@ def cut_to_powers(sequence: list[tuple]) -> list[list[tuple]]:
     return out
 
 
-def step_groups(sequences: list[list[tuple]], per_step: int) -> list[int]:
-    """A step group for each sequence: attention cost (sum of squared piece lengths) is dealt back and forth."""
-    cost = sorted(range(len(sequences)), key=lambda s: -sum(p[2] ** 2 for p in sequences[s]))
-    groups, out = max(1, len(sequences) // per_step), [0] * len(sequences)
-    for rank, s in enumerate(cost):
-        turn, place = divmod(rank, groups)
-        out[s] = groups - 1 - place if turn % 2 else place
-    return out
+def with_step_groups(pieces: DataFrame, store: Stored, per_step: int, longest: int) -> DataFrame:
+    """Pieces with `step_group`: windows of one size dealt to steps of about `per_step * longest` tokens each.
+
+    The windows of a size, ordered by cost (sum of squared piece lengths) and id, go to the steps back and forth; the
+    numbers of windows of two steps of a size differ by one at most. The size stands in the upper bits of the number.
+    """
+    order = [F.col("sequence_length"), F.col("sequence_cost").desc(), F.col("sequence_id")]
+    heads = pieces.where("offset = 0").repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = store.put(heads.select("sequence_id", "sequence_length", F.monotonically_increasing_id().alias("place")))
+    placed = placed.withColumn("part", F.shiftrightunsigned("place", 33))
+    # a row for each partition and size in it: partitions and sizes together at most, as both are in order
+    runs = placed.groupBy("sequence_length", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    size = Window.partitionBy("sequence_length")
+    runs = runs.select("sequence_length", "part", "first", F.sum("n").over(size).alias("windows"),
+                       (F.sum("n").over(size.orderBy("part")) - F.col("n")).alias("before"))
+    ranked = placed.join(F.broadcast(runs), ["sequence_length", "part"]).select(
+        "sequence_id", "sequence_length", (F.col("place") - F.col("first") + F.col("before")).alias("rank"),
+        F.greatest(F.lit(1), F.expr(f"windows * sequence_length div {per_step * longest}")).alias("steps"))
+    turn, at = F.expr("rank div steps"), F.col("rank") % F.col("steps")
+    number = F.when(turn % 2 == 1, F.col("steps") - 1 - at).otherwise(at)
+    steps = ranked.select("sequence_id", (F.shiftleft("sequence_length", 40) + number).alias("step_group"))
+    return pieces.join(steps, "sequence_id").select(*pieces.columns, "step_group")
 
 
 PIECES = ("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
-          "sequence_length long, tier int, step_group long")
+          "sequence_length long, sequence_cost long, tier int")
 
 
 def pack(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text", longest: int = 2048,  # noqa: A002
@@ -193,36 +218,36 @@ def pack(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "te
 
     `tokenizer` and `added` are files as in Encoder. A document is its ids and the end id; a null text is empty and still has the end id. Every sequence is full or has
     a power of two as its length, so nothing is padded. Sequence ids hold the task's number in the upper bits; tier is
-    the size of the shortest context that would hold the piece. Repeated rows are packed each for itself; an id may be
+    the size of the shortest context that would hold the piece, sequence_cost the sum of the squared piece lengths of the
+    sequence, step_group the step that the sequence is dealt to (`with_step_groups`). Repeated rows are packed each for itself; an id may be
     null; an empty table gives no pieces. Very long texts are cut into full sequences first.
     """
     if longest & (longest - 1) or smallest & (smallest - 1):
         raise ValueError("tiers are powers of two")
     schema = docs.select(F.col(id)).schema.simpleString()[7:-1].replace(f"{id}:", f"`{id}` ", 1) + ", " + PIECES
-    kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
+    kinds = [pa.int64()] * 8 + [pa.int32()]
     names = [id, *(x.split()[0] for x in PIECES.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = _encoder(tokenizer, added), TaskContext.get().partitionId() << 36
         held: list[tuple] = []  # (id, ids, first id that is not packed yet)
-        tokens, sequences_so_far, groups_so_far = 0, 0, 0
+        tokens, sequences_so_far = 0, 0
         end = array("I", [END_ID]).tobytes()
         id_type = None
 
         def flush(last: bool) -> pa.RecordBatch | None:
-            nonlocal held, tokens, sequences_so_far, groups_so_far
+            nonlocal held, tokens, sequences_so_far
             found, rest = packed([(k, first, len(ids) // 4) for k, (_, ids, first) in enumerate(held)], longest, smallest, last)
-            steps, rows, keys = step_groups(found, per_step), [], []
+            rows, keys = [], []
             for number, sequence in enumerate(found):
-                offset, size = 0, sum(p[2] for p in sequence)
+                offset, size, cost = 0, sum(p[2] for p in sequence), sum(p[2] ** 2 for p in sequence)
                 for k, start, length in sequence:
                     name, ids, _ = held[k]
                     keys.append(name)
                     rows.append((start, length, zlib.crc32(ids[4 * start:4 * (start + length)]), len(ids) // 4, task + sequences_so_far + number,
-                                 offset, size, max(smallest, 1 << (length - 1).bit_length()), task + groups_so_far + steps[number]))
+                                 offset, size, cost, max(smallest, 1 << (length - 1).bit_length())))
                     offset += length
             sequences_so_far += len(found)
-            groups_so_far += max(steps, default=-1) + 1
             # only the last pieces of documents wait for the next block; each is the end of its document
             held, tokens = [(held[k][0], held[k][1], start) for k, start, _ in rest], sum(p[2] for p in rest)
             if not rows:
@@ -241,7 +266,8 @@ def pack(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "te
         if held and (out := flush(True)):
             yield out
 
-    return docs.select(F.col(id), F.col(text)).mapInArrow(run, schema)
+    store = Stored(docs.sparkSession, "packing")
+    return with_step_groups(store.put(docs.select(F.col(id), F.col(text)).mapInArrow(run, schema)), store, per_step, longest)
 
 
 _encoders: dict[tuple[str, str | None], Encoder] = {}

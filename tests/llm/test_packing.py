@@ -70,7 +70,7 @@ def test_blocks_keep_tails(monkeypatch):
     rng = random.Random(1)
     docs = [(k, 0, rng.choice([1, 5, 100, 700, 1500, 2047, 2048, 5000])) for k in range(200)]
     found, rest = packing.packed(docs, 2048, 128, last=False)
-    assert all(sum(p[2] for p in s) == 2048 for s in found) and sum(p[2] for p in rest) < 2048
+    assert all(sum(p[2] for p in s) in (128, 256, 512, 1024, 2048) for s in found) and sum(p[2] for p in rest) < 2048
     found, rest = packing.packed(docs, 2048, 128, last=True)
     ids = [(d, t) for s in found for d, start, length in s for t in range(start, start + length)]
     assert not rest and len(ids) == len(set(ids)) == sum(d[2] for d in docs)
@@ -97,3 +97,39 @@ def test_query_packs_added_tokens(spark, tmp_path):
     ids = np.array([64, 220, 50256, 275, 1], dtype="<u4")
     assert {r.doc_tokens for r in rows} == {5} and sum(r.length for r in rows) == 5
     assert all(r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes()) for r in rows)
+
+
+def test_tiers_have_windows_of_their_own():
+    rng = random.Random(2)
+    lengths = [rng.randrange(low, 2 * low) for low, n in ((64, 3000), (129, 1500), (257, 500), (513, 200), (1025, 60)) for _ in range(n)]
+    docs = [(k, 0, min(length, 2047)) for k, length in enumerate(lengths)]
+    rng.shuffle(docs)
+    found, _ = packing.packed(docs, 2048, 128, last=False)
+    sizes = {}
+    for window in found:
+        size = sum(p[2] for p in window)
+        sizes[size] = sizes.get(size, 0) + 1
+        # a document of the tier opens the window, shorter ones follow, longest fit first, then at most one head
+        assert size / 2 < window[0][2] <= size or size == 128
+        whole = window[1:-1]
+        assert [p[2] for p in whole] == sorted((p[2] for p in whole), reverse=True)
+    assert set(sizes) == {128, 256, 512, 1024, 2048}
+    long = [w for w in found if sum(p[2] for p in w) == 2048]
+    assert sum(len(w) > 1 and w[1][2] <= 1024 for w in long) > len(long) / 2
+
+
+def test_step_groups_equal_plain_dealing(spark):
+    rng = random.Random(3)
+    frame = spark.createDataFrame([(k, "word " * rng.choice([3, 60, 300, 1500, 2047, 4095])) for k in range(700)], "doc_id long, text string").repartition(3)
+    pieces = packing.pack(frame, PATH, per_step=2).collect()
+    windows = {}
+    for p in pieces:
+        windows.setdefault((p.sequence_length, p.sequence_id), []).append(p)
+    assert all({p.sequence_cost for p in own} == {sum(p.length ** 2 for p in own)} and len({p.step_group for p in own}) == 1 for own in windows.values())
+    for size in {s for s, _ in windows}:
+        order = sorted((-own[0].sequence_cost, key[1], own[0].step_group) for key, own in windows.items() if key[0] == size)
+        steps = max(1, len(order) * size // (2 * 2048))
+        for rank, (_, _, group) in enumerate(order):
+            turn, at = divmod(rank, steps)
+            assert group == (size << 40) + (steps - 1 - at if turn % 2 else at)
+    assert len({p.step_group for p in pieces}) > 20
