@@ -3,9 +3,10 @@
 A fingerprint is embedded as the bit counts of its 32 segments of two bits. The Manhattan distance of two embeddings
 never exceeds the Hamming distance of the fingerprints, so fingerprints within two bits lie within Manhattan distance
 two, and some cell of the grid is within distance one of both. Each distinct fingerprint is dealt to the cells within
-distance one of its own (about 49); only cells that hold two different fingerprints go on. There the pairs are checked
+distance one of its own (about 49); a cell with one fingerprint goes no further. In a cell the pairs are checked
 exactly without forming them: two fingerprints differ by at most two bits if and only if one bit pattern is within one
-bit of both, so the members of a cell meet at such patterns, and each pattern links its members to the smallest one.
+bit of both, and that pattern's own cell is one they share. So the members of a cell meet at the one or two patterns
+within a bit of them that lie in this cell, and each pattern links its members, 65 at most, to the smallest one.
 The work is linear in the number of distinct fingerprints, however many copies or near copies there are.
 """
 
@@ -81,9 +82,10 @@ def near_patterns(value: Column) -> Column:
 
 
 def in_company(dealt: DataFrame) -> DataFrame:
-    """The fp of rows (cell, fp) whose cell holds another row; one shuffle and a sort, of which a task sees a batch at a time."""
+    """Distinct rows (cell, fp) whose cell holds another row; one shuffle and a sort, of which a task sees a batch at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell = fp = None  # the row before this batch
+        cell = fp = None  # the row before this batch, and whether it has gone out
+        gone = True
         for batch in batches:
             cells, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(cells):
@@ -91,23 +93,25 @@ def in_company(dealt: DataFrame) -> DataFrame:
             same = np.zeros(len(cells) + 1, dtype=bool)  # is row i of the cell of row i - 1
             same[1:-1] = cells[1:] == cells[:-1]
             same[0] = cell is not None and cell == cells[0]
-            found = fps[same[:-1] | same[1:]]
-            if same[0]:
-                found = np.append(found, fp)
-            cell, fp = cells[-1], fps[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(found))], names=["fp"])
+            company = same[:-1] | same[1:]
+            out = cells[company], fps[company]
+            if same[0] and not gone:
+                out = np.append(out[0], cell), np.append(out[1], fp)
+            cell, fp, gone = cells[-1], fps[-1], company[-1]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), names=["cell", "fp"])
 
-    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "fp long").distinct()
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, fp long")
 
 
-def links(values: DataFrame, store: Stored) -> DataFrame:
+def links(values: DataFrame) -> DataFrame:
     """(a, b) so that the components of these links are those of all pairs of distinct `fp` within two bits."""
     dealt = values.select(F.explode(F.array_distinct(F.transform(near_patterns(F.col("fp")), embedded))).alias("cell"), "fp")
-    members = store.put(in_company(dealt))
-    met = members.select("fp", F.explode(near_patterns(F.col("fp"))).alias("pattern"))
-    centre = met.groupBy("pattern").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most")
-    return (met.join(centre.select("pattern", "least"), "pattern").where("fp <> least")
-            .select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct())
+    inside = F.filter(near_patterns(F.col("fp")), lambda pattern: embedded(pattern) == F.col("cell"))
+    met = in_company(dealt).select("cell", F.explode(inside).alias("pattern"), "fp")
+    # a pattern has 64 neighbours, so no group is larger than 65
+    groups = met.groupBy("cell", "pattern").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    pairs = groups.select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b")
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
 
 
 def near_groups(prints: DataFrame, *, id: str = "doc_id", name: str = "fingerprint") -> DataFrame:  # noqa: A002
@@ -117,7 +121,7 @@ def near_groups(prints: DataFrame, *, id: str = "doc_id", name: str = "fingerpri
     """
     store = Stored(prints.sparkSession, "simhash")
     values = store.put(prints.groupBy(F.col(name).alias("fp")).agg(F.min(id).alias("least")))
-    roots = connected_components(links(values, store), store).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    roots = connected_components(links(values), store).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     linked = store.put(values.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     return linked.join(least, "root").select("fp", "root", "component_id")

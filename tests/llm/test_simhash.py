@@ -79,3 +79,41 @@ def test_near_duplicates_of_texts(spark):
     got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(frame).orderBy(F.col("doc_id")).collect()]
     assert got == [(None, 3), (1, 1), (2, 1), (3, 3), (7, 3), (9, 9)]
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_cells_with_company_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(60), k) for k in range(90)] + [(7, 1000 + k) for k in range(20)]
+    held = {}
+    for cell, fp in rows:
+        held.setdefault(cell, []).append((cell, fp))
+    expected = sorted(r for own in held.values() if len(own) > 1 for r in own)
+    frame = spark.createDataFrame(rows, "cell long, fp long")
+    for size in (1, 2, 3, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = sorted(map(tuple, simhash.in_company(frame).collect()))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == expected
+
+
+def test_links_meet_in_a_shared_cell(spark):
+    rng = random.Random(6)
+    hub = rng.getrandbits(64)
+    prints = {hub} | {hub ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(60)} | {rng.getrandbits(64) for _ in range(30)}
+    signed = [(p - 2**64 if p >> 63 else p,) for p in sorted(prints)]
+    found = {(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in simhash.links(spark.createDataFrame(signed, "fp long")).collect()}
+    assert found and all((a ^ b).bit_count() in (1, 2) for a, b in found)
+    ids = sorted(prints)
+    parent = {f: f for f in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in found:
+        parent[root(a)] = root(b)
+    names = plain_components(ids, ids)
+    assert all((root(a) == root(b)) == (names[i] == names[j]) for i, a in enumerate(ids) for j, b in enumerate(ids))
