@@ -112,7 +112,7 @@ def to_findings(results: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, repo: str = "") -> DataFrame:
     """(repo, file, content) of the files below a path, one row per file."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     return rows.select(F.lit(repo).alias("repo"), F.col("_metadata.file_path").alias("file"),
                        F.col("value").alias("content"))
 
