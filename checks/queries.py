@@ -17,6 +17,7 @@ from codetrawl.functions import paths
 from codetrawl.functions import text as tx
 from codetrawl.operators import authz, compare, correlate, enrich, graph, inventory, rules
 from codetrawl.operators.lines import raw_lines, source_lines
+from codetrawl.plans import documents as docs
 from codetrawl.plans import reports
 from codetrawl.plans.scan import local_findings
 from codetrawl.schema import FINDINGS
@@ -1154,6 +1155,120 @@ add("out_summary", _summary, f"""WITH {findings_ctes()}, {_ROOTS_SQL},
     SELECT repo, '- `' || id || '` — ' || title || ' — `' || file_path || ':' || start_line || '`' FROM findings WHERE {_REVIEW}""")
 
 
+
+def _kept_findings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, str]:
+    """Findings and root causes of the corpus as written tables, and the folder they lie in."""
+    path = scratch(spark)
+    found = _full(spark, sf)
+    found.write.mode("overwrite").parquet(f"{path}/findings")
+    stored = spark.read.schema(FINDINGS).parquet(f"{path}/findings")
+    roots = correlate.root_causes(stored)
+    roots.write.mode("overwrite").parquet(f"{path}/root_causes")
+    return stored, spark.read.schema(roots.schema).parquet(f"{path}/root_causes"), path
+
+
+def _report_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of every repository's report as it lies in its files."""
+    found, roots, path = _kept_findings(spark, sf)
+    docs.write_documents(docs.report_pieces(found, roots, corpus.files(spark, sf)), f"{path}/report")
+    return docs.numbered_lines(docs.read_documents(spark, f"{path}/report"))
+
+
+def _summary_document(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of every repository's summary as it lies in its files."""
+    found, roots, path = _kept_findings(spark, sf)
+    files = corpus.files(spark, sf)
+    pieces = docs.summary_pieces(found, roots, files, inventory.frameworks(files), "corpus")
+    docs.write_documents(pieces, f"{path}/summary")
+    return docs.numbered_lines(docs.read_documents(spark, f"{path}/summary"))
+
+
+def _sarif_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of every repository's SARIF log as it lies in its files; results are parsed from their text."""
+    found, _, path = _kept_findings(spark, sf)
+    docs.write_documents(docs.sarif_pieces(found, "scan", "1", corpus.files(spark, sf)), f"{path}/sarif")
+    lines = docs.numbered_lines(docs.read_documents(spark, f"{path}/sarif"))
+    result = F.parse_json(F.regexp_replace("line", "^,", ""))
+
+    def field(place: str, kind: str = "string"):
+        return F.when(F.col("line").rlike('^,?\\{"ruleId"'), F.try_variant_get(result, place, kind))
+
+    return lines.select(
+        "repo", "line_no", F.col("line").startswith(",").cast("bigint").alias("comma"),
+        F.when(field("$.ruleId").isNull(), F.col("line")).alias("frame"),
+        field("$.ruleId").alias("rule_id"), field("$.level").alias("level"), field("$.message.text").alias("message"),
+        field("$.properties.verdict_candidate").alias("verdict"), field("$.properties.sink").alias("sink"),
+        field("$.locations[0].physicalLocation.artifactLocation.uri").alias("uri"),
+        field("$.locations[0].physicalLocation.region.startLine", "bigint").alias("start_line"))
+
+
+def _document_sql(pieces: str, columns: str = "repo, line_no, line") -> str:
+    """Lines of documents made from pieces (repo, part, descending, place, line, seq, value)."""
+    return f"""pieces AS ({pieces}),
+    whole AS (SELECT repo, string_split(string_agg(value, chr(10) ORDER BY part, descending, place, line, seq), chr(10)) AS lines
+              FROM pieces GROUP BY repo),
+    numbered AS (SELECT repo, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS line_no FROM whole)
+    SELECT {columns} FROM numbered"""
+
+
+_REPOS_SQL = f"""all_repos AS (SELECT DISTINCT coalesce(repo, '') AS repo FROM ({corpus.files_sql()})),
+    tally AS (SELECT a.repo, count(DISTINCT root_cause_id) AS root_causes, count(f.repo) AS instances,
+                     count(f.repo) FILTER (NOT {_REVIEW} AND verdict_candidate <> 'suppressed') AS leads,
+                     count(f.repo) FILTER ({_REVIEW}) AS points
+              FROM all_repos a LEFT JOIN findings f ON coalesce(f.repo, '') = a.repo GROUP BY a.repo)"""
+_COUNTS_TEXT = """'Root causes: ' || root_causes || ' | Instances: ' || instances || ' | Review leads: ' || leads ||
+    ' | Review points: ' || points || chr(10)"""
+add("out_report_document", _report_document, f"""WITH {findings_ctes()}, {_ROOTS_SQL}, {_REPOS_SQL},
+    """ + _document_sql(f"""
+    SELECT repo, 0 AS part, 0 AS descending, '' AS place, 0 AS line, '' AS seq,
+           {q(fv.REPORT_TITLE)} || chr(10) || chr(10) || {q(fv.REPORT_INTRO)} || chr(10) || chr(10) || {_COUNTS_TEXT} AS value FROM tally
+    UNION ALL SELECT repo, 1, 0, '', 0, '', '## Candidate review leads' || chr(10) FROM tally
+    UNION ALL SELECT repo, 3, 0, '', 0, '', '## Review points' || chr(10) FROM tally
+    UNION ALL SELECT repo, 5, 0, '', 0, '', '## Root causes' FROM tally
+    UNION ALL SELECT coalesce(repo, ''), CASE WHEN {_REVIEW} THEN 4 ELSE 2 END, -confidence_score, file_path, start_line, seq,
+              {_BLOCK_SQL} FROM findings WHERE verdict_candidate <> 'suppressed'
+    UNION ALL SELECT coalesce(repo, ''), 6, 0, root_cause_id, 0, '', chr(10) || '- `' || root_cause_id || '`: ' || title || ' (' ||
+              instance_count || ' instances)' FROM roots"""))
+_FACTS_SQL = """facts AS (SELECT t.*,
+        (SELECT string_agg(DISTINCT language, ', ' ORDER BY language) FROM fl WHERE coalesce(fl.repo, '') = t.repo) AS languages,
+        (SELECT string_agg(DISTINCT framework, ', ' ORDER BY framework) FROM fw WHERE coalesce(fw.repo, '') = t.repo) AS frameworks
+    FROM tally t)"""
+add("out_summary_document", _summary_document, f"""WITH {findings_ctes()}, {_ROOTS_SQL}, {_REPOS_SQL},
+    fl AS MATERIALIZED ({corpus.files_sql()}), fw AS ({_frameworks_sql('fl')}), {_FACTS_SQL},
+    kept AS (SELECT * FROM roots WHERE root_cause_type NOT IN ('review_point', 'informational_inventory')),
+    places AS (SELECT DISTINCT f.repo, f.root_cause_id, f.file_path || ':' || f.start_line AS location
+               FROM findings f JOIN kept k ON f.repo IS NOT DISTINCT FROM k.repo AND f.root_cause_id = k.root_cause_id),
+    sized AS (SELECT *, count(*) OVER (PARTITION BY repo, root_cause_id) AS size FROM places),
+    """ + _document_sql(f"""
+    SELECT repo, 0 AS part, 0 AS descending, '' AS place, 0 AS line, '' AS seq, concat_ws(chr(10), {q(fv.SUMMARY_TITLE)}, '',
+           {q(fv.SUMMARY_INTRO)}, '', '## Repository', '', '- Path: `corpus/' || repo || '`', '- Languages: ' || coalesce(languages, ''),
+           '- Frameworks: ' || coalesce(frameworks, ''), '- Instances: ' || instances, '- Root causes: ' || root_causes, '',
+           '## Scope', '', {', '.join(q('- ' + line) for line in fv.SUMMARY_SCOPE)}, '', '## Candidate root causes', '') AS value
+    FROM facts
+    UNION ALL SELECT coalesce(repo, ''), 1, 0, root_cause_id, 0, '', '- `' || root_cause_id || '` — ' || title || ' (' || root_cause_type ||
+              '; ' || instance_count || ' related instances)' FROM kept
+    UNION ALL SELECT coalesce(repo, ''), 1, 0, root_cause_id, 1, '', '  - Review locations: `' || string_agg(location, '`, `' ORDER BY location) || '`'
+              FROM sized WHERE size <= {docs.PLACES_A_LINE} GROUP BY repo, root_cause_id
+    UNION ALL SELECT coalesce(repo, ''), 1, 0, root_cause_id, 1, location, '  - Review locations: `' || location || '`'
+              FROM sized WHERE size > {docs.PLACES_A_LINE}
+    UNION ALL SELECT repo, 2, 0, '', 0, '', chr(10) || '## Review points' || chr(10) FROM tally
+    UNION ALL SELECT coalesce(repo, ''), 3, 0, '', 0, seq, '- `' || id || '` — ' || title || ' — `' || file_path || ':' || start_line || '`'
+              FROM findings WHERE {_REVIEW}
+    UNION ALL SELECT repo, 4, 0, '', 0, '', concat_ws(chr(10), '', {q(fv.SUMMARY_RETAINED)}, '', '## Limitations', '',
+              {q(fv.SUMMARY_LIMITS)}, '') FROM tally"""))
+_SARIF_HEAD = (f'{{"$schema":"{fv.SARIF_SCHEMA}","version":"{fv.SARIF_VERSION}","runs":[{{"tool":{{"driver":'
+               '{"name":"scan","version":"1"}},"results":[')
+add("out_sarif_log", _sarif_log, f"""WITH {findings_ctes()}, {_REPOS_SQL},
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY coalesce(repo, '') ORDER BY seq) AS k FROM findings)
+    SELECT coalesce(repo, '') AS repo, k + 1 AS line_no, (k > 1)::INT::BIGINT AS comma, NULL AS frame, rule_id,
+           CASE WHEN suggested_severity IN ('high', 'critical') THEN 'error' ELSE 'warning' END AS level,
+           title || ': ' || description AS message, verdict_candidate AS verdict, sink, file_path AS uri,
+           start_line::BIGINT AS start_line FROM ranked
+    UNION ALL SELECT repo, 1, 0, {q(_SARIF_HEAD)} || CASE WHEN instances = 0 THEN ']}}]}}' ELSE '' END,
+              NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM tally
+    UNION ALL SELECT repo, instances + 2, 0, ']}}]}}', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM tally WHERE instances > 0""")
+
+
 def _metadata(spark: SparkSession, sf: str) -> DataFrame:
     classified = fs.classify(listing(spark, sf))
     files = fs.source_files(classified)

@@ -1,7 +1,7 @@
 """Sinks: the tables a scan leaves behind, as data, SARIF records and report rows.
 
-Report text is a rendering job: one formatted block per finding, ordered by sort columns and
-written as text files in that order. Nothing is gathered into one document on the driver.
+Report text is a rendering job: one formatted block per finding with its sort columns. ``documents`` puts the pieces of a
+repository in order and writes them.
 """
 
 from __future__ import annotations
@@ -61,6 +61,18 @@ def sarif_records(findings: DataFrame) -> DataFrame:
                        F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
+SARIF_END = "]}]}"
+
+
+def sarif_head(tool: str, version: str) -> Column:
+    """The text of a log before its first result."""
+    return F.concat(
+        F.lit(f'{{"$schema":"{fv.SARIF_SCHEMA}","version":"{fv.SARIF_VERSION}","runs":[{{"tool":{{"driver":'),
+        F.to_json(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"))),
+        F.lit('},"results":['),
+    )
+
+
 def sarif_log(findings: DataFrame, tool: str, version: str) -> DataFrame:
     """(repo, part, emit_seq, value): text pieces that make one SARIF log per repository in order.
 
@@ -72,13 +84,8 @@ def sarif_log(findings: DataFrame, tool: str, version: str) -> DataFrame:
     results = sarif_records(findings).join(first, "repo").select(
         "repo", F.lit(1).alias("part"), "emit_seq", F.concat(comma, F.col("value")).alias("value"))
     nothing = F.lit(None).cast(findings.schema["emit_seq"].dataType).alias("emit_seq")
-    head = F.concat(
-        F.lit(f'{{"$schema":"{fv.SARIF_SCHEMA}","version":"{fv.SARIF_VERSION}","runs":[{{"tool":{{"driver":'),
-        F.to_json(F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"))),
-        F.lit('},"results":['),
-    )
-    opened = first.select("repo", F.lit(0).alias("part"), nothing, head.alias("value"))
-    closed = first.select("repo", F.lit(2).alias("part"), nothing, F.lit("]}]}").alias("value"))
+    opened = first.select("repo", F.lit(0).alias("part"), nothing, sarif_head(tool, version).alias("value"))
+    closed = first.select("repo", F.lit(2).alias("part"), nothing, F.lit(SARIF_END).alias("value"))
     return results.unionByName(opened).unionByName(closed)
 
 
@@ -115,43 +122,6 @@ def report_blocks(findings: DataFrame) -> DataFrame:
     )
 
 
-_REPORT_ORDER = ("part", "descending", "file_path", "start_line", "emit_seq")
-
-
-def report(findings: DataFrame, root_causes: DataFrame) -> DataFrame:
-    """The whole report as ordered text rows: header, sections, finding blocks, root causes."""
-    text = F.lit
-    kind = findings.schema["emit_seq"].dataType
-
-    def piece(df: DataFrame, part: int, value: Column, descending=text(0), path=text(""), line=text(0),
-              seq=None) -> DataFrame:
-        return df.select(text(part).alias("part"), descending.cast("int").alias("descending"),
-                         path.alias("file_path"), line.cast("int").alias("start_line"),
-                         (text(None).cast(kind) if seq is None else seq).alias("emit_seq"), value.alias("value"))
-
-    counts = correlate.report_counts(findings)
-    header = F.concat(
-        text(f"{fv.REPORT_TITLE}\n\n{fv.REPORT_INTRO}\n\nRoot causes: "), F.col("root_causes"),
-        text(" | Instances: "), F.col("instances"), text(" | Review leads: "), F.col("review_leads"),
-        text(" | Review points: "), F.col("review_points"), text("\n"),
-    )
-    blocks = report_blocks(findings)
-    one_row = counts.select("root_causes")
-    parts = [piece(counts, 0, header)]
-    for number in (0, 1):
-        parts.append(piece(one_row, 1 + 2 * number, text(f"## {fv.REPORT_SECTIONS[number]}\n")))
-        parts.append(piece(blocks.filter(F.col("section_no") == number), 2 + 2 * number, F.col("block"),
-                           -F.col("confidence_score"), F.col("file_path"), F.col("start_line"), F.col("emit_seq")))
-    parts.append(piece(one_row, 5, text(f"## {fv.REPORT_SECTIONS[2]}\n")))
-    root = F.concat(text("- `"), F.col("root_cause_id"), text("`: "), F.col("title"), text(" ("),
-                    F.col("instance_count"), text(" instances)\n"))
-    parts.append(piece(root_causes, 6, root, path=F.col("root_cause_id")))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows.orderBy(*_REPORT_ORDER).select("value")
-
-
 def simple_report(findings: DataFrame) -> DataFrame:
     """The plain report: one block per finding in emission order."""
     steps = F.concat(F.lit("['"), F.array_join("recommended_verification_steps", "', '"), F.lit("']"))
@@ -205,12 +175,17 @@ def metadata(files: DataFrame, skipped: DataFrame, frameworks: DataFrame, target
 
 
 def write_scan(path: str, findings: DataFrame, routes: DataFrame | None = None, inventory: DataFrame | None = None,
-               errors: DataFrame | None = None, roots_only: bool = False) -> None:
-    """Write the tables and reports of a scan below ``path``.
+               errors: DataFrame | None = None, roots_only: bool = False, files: DataFrame | None = None,
+               frameworks: DataFrame | None = None, tool: str = "codetrawl", version: str = "1") -> None:
+    """Write the tables and documents of a scan below ``path``.
+
+    With ``files`` (repo, language, ...) every repository has a summary, and those without findings a report and a log too.
 
     Findings are written first and read back, so the scan itself runs once and everything after
     it starts from files that outlive any executor.
     """
+    from . import documents  # which is made of the pieces above
+
     spark = findings.sparkSession
     findings.write.mode("overwrite").parquet(f"{path}/findings")
     stored = spark.read.schema(findings.schema).parquet(f"{path}/findings")
@@ -220,12 +195,16 @@ def write_scan(path: str, findings: DataFrame, routes: DataFrame | None = None,
     correlate.root_cause_instances(stored).write.mode("overwrite").parquet(f"{path}/root_cause_instances")
     if roots_only:
         return
+    repos = None if files is None else files.select("repo").distinct()
     stored.transform(finding_records).orderBy("repo", "emit_seq").select("value").write.mode("overwrite").text(
         f"{path}/findings_json")
     stored_roots.orderBy("repo", "root_cause_id").write.mode("overwrite").json(f"{path}/root_causes_json")
     review_points(stored).write.mode("overwrite").parquet(f"{path}/review_points")
-    sarif_records(stored).orderBy("repo", "emit_seq").select("value").write.mode("overwrite").text(f"{path}/sarif")
-    report(stored, stored_roots).write.mode("overwrite").text(f"{path}/report")
+    documents.write_documents(documents.sarif_pieces(stored, tool, version, repos), f"{path}/sarif")
+    documents.write_documents(documents.report_pieces(stored, stored_roots, repos), f"{path}/report")
+    if files is not None:
+        facts = frameworks if frameworks is not None else repos.select("repo", F.lit(None).cast("string").alias("framework"))
+        documents.write_documents(documents.summary_pieces(stored, stored_roots, files, facts), f"{path}/summary")
     compare.handoff(stored_roots, stored).drop("emit_seq").write.mode("overwrite").json(f"{path}/context_request")
     if routes is not None:
         routes.write.mode("overwrite").parquet(f"{path}/routes")

@@ -11,7 +11,7 @@ from codetrawl import fixed_values as fv
 from codetrawl.functions import text as tx
 from codetrawl.operators import compare, correlate, enrich, graph, inventory
 from codetrawl.operators.lines import source_lines
-from codetrawl.plans import reports
+from codetrawl.plans import documents, reports
 from codetrawl.sources import files as fs
 from codetrawl.sources import results
 
@@ -187,7 +187,7 @@ def test_compare(source):
 def test_written_results(spark, source, tmp_path):
     found = scan_files(source(("a.py", PY)))
     reports.write_scan(str(tmp_path / "out"), found)
-    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "out/report")).collect())
+    text = "".join(r.text for r in documents.read_documents(spark, str(tmp_path / "out/report")).collect())
     assert "## Candidate review leads" in text and "hunter2hunter2" not in text
     log = reports.sarif_log(found, "scanner", "1").orderBy("repo", "part", "emit_seq").collect()
     parsed = json.loads("".join(r.value for r in log))
@@ -196,6 +196,17 @@ def test_written_results(spark, source, tmp_path):
     assert again.count() == found.count()
 
 
+def test_results_of_many_lines_are_one_document(spark, tmp_path):
+    hit = {"RuleID": "key", "Description": "a key", "File": "a.py", "StartLine": 3}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/pretty.json").write_text(json.dumps([hit, hit | {"StartLine": 4}], indent=2))
+    (tmp_path / "in/broken.json").write_text("[{\n")
+    found, errors = results.import_results(spark, [f"gitleaks={tmp_path}/in"])
+    assert sorted(r.start_line for r in found.collect()) == [3, 4]
+    (error,) = errors.collect()
+    assert error.path.endswith("broken.json") and error.error == "gitleaks import failed: not valid JSON"
+
+
 def test_java_declarations_equal_their_expression(spark):
     import random
     import re
