@@ -22,7 +22,7 @@ from codetrawl.plans import reports
 from codetrawl.plans.scan import local_findings
 from codetrawl.schema import FINDINGS
 from codetrawl.sources import files as fs
-from codetrawl.sources import results
+from codetrawl.sources import results, runs
 
 from . import corpus, oracle
 from .oracle import any_of, findings_ctes, findings_sql, in_list, lines_cte, q, redact_sql
@@ -1007,6 +1007,20 @@ add("cmp_changes", _two(compare.changes), f"""WITH {_two_sql()}
     WHERE o.classification IS DISTINCT FROM n.classification""")
 
 
+def _written_runs(function) -> Query:
+    """A comparison of two runs that lie in buckets."""
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        base = scratch(spark)
+        for snapshot in ("old", "new"):
+            runs.write_run(_full(spark, sf, snapshot), f"{base}/{snapshot}", 32)
+        return function(*[runs.read_run(spark, f"{base}/{snapshot}") for snapshot in ("old", "new")])
+    return query
+
+
+add("cmp_counts_written", _written_runs(compare.run_counts), ORACLE["cmp_counts"])
+add("cmp_changes_written", _written_runs(compare.run_changes), ORACLE["cmp_changes"])
+
+
 def _unreported(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus.files(spark, sf, "plain")
     return compare.unreported(files, local_findings(files))

@@ -13,7 +13,7 @@ from codetrawl.operators import compare, correlate, enrich, graph, inventory
 from codetrawl.operators.lines import source_lines
 from codetrawl.plans import documents, reports
 from codetrawl.sources import files as fs
-from codetrawl.sources import results
+from codetrawl.sources import results, runs
 
 PY = 'password = "hunter2hunter2"\nos.system(cmd)\nopen(name)\n'
 
@@ -184,6 +184,29 @@ def test_compare(source):
     assert [r.file_path for r in left.collect()] == ["auth/x.py"]
 
 
+def test_written_runs_are_compared_without_an_exchange(spark, source, tmp_path):
+    plain, named = "x = random.random()\n", "token = random.random()\n"
+    old = scan_files(source(("a.py", plain), ("b.py", plain), (None, "n.py", plain)))
+    new = scan_files(source(("a.py", named), ("c.py", plain), (None, "n.py", named)))
+    # repeats of an id, of which the last counts
+    old = old.unionByName(old.withColumns({"classification": F.lit("review_point"), "emit_seq": F.col("emit_seq").withField("ord", F.lit(99))}))
+    for name, found in (("old", new), ("old", old), ("new", new)):
+        runs.write_run(found, str(tmp_path / name), 4)
+    first, second = (runs.read_run(spark, str(tmp_path / name)) for name in ("old", "new"))
+    assert first.count() == old.count()
+    assert compare.run_counts(first, second).first() == compare.counts(old, new).first()
+    expected = {(r.repo or "", *r[1:]) for r in compare.changes(old, new).collect()}
+    changed = compare.run_changes(first, second)
+    assert {tuple(r) for r in changed.collect()} == expected and len(expected) == 2
+    assert "Exchange" not in changed._jdf.queryExecution().executedPlan().toString()
+    # a session that does not know the tables reads them by their manifest
+    for name in ("old", "new"):
+        spark.sql(f"DROP TABLE {runs._table(str(tmp_path / name))}")
+    again = compare.run_changes(*(runs.read_run(spark, str(tmp_path / name)) for name in ("old", "new")))
+    assert {tuple(r) for r in again.collect()} == expected
+    assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+
+
 def test_written_results(spark, source, tmp_path):
     found = scan_files(source(("a.py", PY)))
     reports.write_scan(str(tmp_path / "out"), found)
