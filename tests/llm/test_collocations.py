@@ -63,6 +63,19 @@ def test_equal_brute_force(spark, monkeypatch, block, shard):
         assert as_rows(collocations(docs, least=least, top=top)) == plain(rows, least, top)
 
 
+def test_vocabulary_never_goes_through_the_driver(spark):
+    docs = spark.createDataFrame([("en", "in the house of cards")] * 40, "lang string, text string")
+    found = collocations(docs)
+    assert found.count() > 0
+    # the number of all words of each language alone is sent to all tasks
+    assert found._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") == 1
+    long = "bigint"
+    rows = spark.createDataFrame([(1, 0, 0, 1, 2, 0, 0)], ", ".join(f"{c} {long}" for c in ("x1", "x2", "x3", "w1", "w2", "w3", "w4")))
+    parts = spark.createDataFrame([(1, 0, 0, 7, s) for s in range(module.SPREAD)], "p1 bigint, p2 bigint, p3 bigint, f bigint, salt int")
+    looked = module._looked_up(rows, parts, "x", "l")
+    assert "Broadcast" not in looked._jdf.queryExecution().sparkPlan().toString() and [r.l for r in looked.collect()] == [7]
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([("en", "just a few words"), ("en", None)], "lang string, text string")
     assert collocations(docs).count() == 0 and collocations(docs.limit(0)).count() == 0
