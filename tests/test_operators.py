@@ -311,3 +311,34 @@ def test_tables_of_a_written_graph(spark, source, tmp_path):
     for table in (graph.symbols, graph.call_edges, graph.graph_routes, graph.route_inventory, graph.enrich_routes, graph.route_callers):
         assert sorted(map(repr, table(stored).collect())) == sorted(map(repr, table(files).collect())) != []
     assert [(r.line_no, r.raw) for r in graph.symbol_at(files).orderBy("line_no").collect()][0] == (1, "@app.get('/x')")
+
+
+def test_queries_that_read_findings_several_times_scan_the_files_once(spark, tmp_path):
+    from checks.queries import QUERIES
+
+    rows = [(i, f"text {i}\nsecond line", "en" if i % 2 else None, "web") for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("cmp_handoff", "cmp_summary_join", "out_summary"):
+        frame = QUERIES[name](spark, str(tmp_path))
+        assert frame.count() > 0
+        assert not [f for f in frame.inputFiles() if "documents.parquet" in f]
+
+
+def test_a_file_is_parsed_once_and_texts_are_not_held_together(spark, source):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from codetrawl.operators import authz
+
+    text = "def delete_it(x):\r\n    return x\r\nclass A:\n    async def login_now(self): pass\n    if x:\n        pass\n    else:\n        def admin_(role): pass\n"
+    found = authz.functions_without_control(source(("a.py", text), ("b.py", "def delete_(owner): pass\n"), ("c.py", "def delete_(:\n")))
+    assert sorted((r.path, r.line_no, r.function) for r in found.collect()) == [("a.py", 1, "delete_it"), ("a.py", 4, "login_now")]
+    assert found._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 1
+    texts = pa.array(["def delete_it(x): return x\n#" + "a" * 200_000] * 100 + [None])
+    tracemalloc.start()
+    try:
+        assert [len(x) for x in authz._uncontrolled.func(texts).to_pylist()] == [1] * 100 + [0]
+        assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    finally:
+        tracemalloc.stop()
