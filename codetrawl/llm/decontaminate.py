@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .shared import Rolling, Stored, Words, text_batches
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18  # hashing takes some 60 times that in each task
 FILTER_BITS = 23  # one megabyte in each task, whatever the size of the benchmark; a full filter passes everything on
 
 def item_windows(items: DataFrame, *, id: str, text: str, window: int, shingle: int) -> DataFrame:  # noqa: A002

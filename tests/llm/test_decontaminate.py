@@ -60,3 +60,21 @@ def test_empty_tables_and_long_text(spark):
     assert (none.n_hit, none["items"], none.n_items) == (0, [], 0)
     assert contamination(d.limit(0), b, keep=["doc_id"]).count() == 0
     assert hashlib.sha256(b"").hexdigest() == d.select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_blocks_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from codetrawl.llm import decontaminate as module
+    from codetrawl.llm.shared import Rolling, Words, text_batches
+
+    rows = pa.RecordBatch.from_pydict({"text": ["some words of a text " * 150] * 1500})
+    tracemalloc.start()
+    rolling, most = Rolling(), 0
+    for _, block in text_batches(rows, "text", module.BLOCK_BYTES):
+        Words(rolling, block).shingles(5)
+        most = max(most, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert most < 32e6
