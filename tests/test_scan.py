@@ -266,3 +266,65 @@ def test_evidence_is_not_redacted_where_nobody_reads_it(source):
     found = local_findings(source(("a.py", VULNERABLE_PY), ("A.java", JAVA_BAD)), function_rules=False)
     plans = [found.select(*names)._jdf.queryExecution().optimizedPlan().toString() for names in (("id", "evidence"), ("id",))]
     assert ["REDACTED ACCESS KEY" in plan for plan in plans] == [True, False]
+
+
+def test_texts_are_searched_as_they_lie(spark):
+    """Case and line breaks need no pass over the text before its search; texts with other breaks are told."""
+    from codetrawl.functions import text as tx
+    from codetrawl.operators import rules
+    from codetrawl.operators.lines import searched, worded_lines
+
+    chosen = rules.line_rules(frozenset(entry["key"] for entry in rules.catalogue_entries()))
+    breaks = ["\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\u0085", "\u2028", "\u2029"]
+    texts = [f"x{b}TOKEN = 'abcdefgh'{b}{b}EXEC(a)\nkey" for b in breaks] + ["to\u212aEN\nto\u212aEN = 1", "F\u0130LENAME\nx open(\n", "plain\nToken\n", "\r\n\r", ""]
+    rows = [(k, name, text) for k, text in enumerate(texts) for name in ("python", "java", "javascript")]
+    frame = spark.createDataFrame(rows, "k int, language string, text string").repartition(3)
+    found = frame.select("text", searched(F.col("text"), F.col("language"), chosen, 2).alias("s"),
+                         worded_lines(F.lower(tx.normal_breaks(F.col("text"))), F.col("language"), chosen, 2).alias("w")).collect()
+    assert len(found) == len(rows) and sum(len(row.w) for row in found) > 20
+    for row in found:
+        assert row.s.lines == row.w
+        assert row.s.other_breaks == any(b in row.text for b in breaks)
+
+
+def test_contexts_are_cut_where_a_rule_reads_them(spark):
+    from codetrawl.operators import rules
+    from codetrawl.operators.lines import candidate_lines
+
+    chosen = rules.line_rules(frozenset(entry["key"] for entry in rules.catalogue_entries()))
+    java = 'class A {\n  String password = "abcdefghijk";\n  void f(MultipartFile file) {\n    file.transferTo(x);\n  }\n}\n'
+    files = spark.createDataFrame([("r", "src/A.java", "java", "production", java)], "repo string, path string, language string, code_surface string, text string")
+    lines = {row.line_no: row for row in candidate_lines(files, chosen, ScanOptions()).collect()}
+    assert lines[2].code_context is lines[2].raw_context is lines[2].upload_context is None
+    assert lines[4].upload_context == "\n".join(java.split("\n")[:6]) and lines[4].code_context == "\n".join(java.split("\n")[2:6])
+    matches = rules.line_matches(candidate_lines(files, chosen, ScanOptions()), chosen, frozenset(e["key"] for e in rules.catalogue_entries()), ["path"])
+    assert sorted((row.line_no, row.key) for row in matches.collect()) == [(2, "j_secret_assign"), (4, "j_upload")]
+    plan = matches._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(filter(" in plan or "Generate explode(knownnotcontainsnull(" in plan
+
+
+@pytest.mark.parametrize("before, after", [(0, 2), (1, 2), (19, 3), (0, 40)])
+def test_windows_of_lines(spark, before, after):
+    from codetrawl.functions import text as tx
+
+    rows = [([f"l{k}" for k in range(n)], at) for n in (0, 1, 5, 50) for at in range(1, n + 3)] + [(None, 1), (["a"], None)]
+    frame = spark.createDataFrame(rows, "lines array<string>, at int")
+    for row in frame.select("lines", "at", tx.window_text(F.col("lines"), F.col("at"), before, after).alias("w")).collect():
+        known = row.lines is not None and row["at"] is not None
+        assert row.w == ("\n".join(row.lines[max(0, row["at"] - 1 - before):row["at"] + after]) if known else None)
+
+
+def test_corpus_rows_of_odd_texts(spark, tmp_path):
+    """Texts that hold placeholders, quotes and breaks give the rows that the SQL gives."""
+    duckdb = pytest.importorskip("duckdb")
+    from checks import corpus
+
+    odd = ["@COMMENT@ @LITERAL@ @ID@\n@COMMENT@", "q's \"x\" `y` \\ z\n\n", "", None, "\n", "plain"]
+    rows = [(5 * k + j, "en", "src", text) for k, text in enumerate(odd) for j in range(5)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for snapshot in (None, "old", "new", "plain"):
+        want = con.execute(f"select path, text from ({corpus.files_sql(snapshot)}) order by path").fetchall()
+        got = corpus.files(spark, str(tmp_path), snapshot).select("path", "text").orderBy("path").collect()
+        assert [tuple(row) for row in got] == want
