@@ -212,32 +212,30 @@ def predict(docs: DataFrame, model: Model | None, *, text: str = "text", keep: l
     are replaced.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    rows = docs.select(*[docs[c] for c in kept], docs[text].alias("_op_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> pa.Array:
         own = shared.value
-        for batch in batches:
-            names, scores = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            block, owners = np.zeros((BLOCK_ROWS, SIZE), dtype=np.float32), []
-
-            def judge() -> None:
-                p = own.probabilities(own.logits(block[: len(owners)]).astype(float))
-                for k, best in enumerate(p.argmax(axis=1)):
-                    names[owners[k]], scores[owners[k]] = own.languages[best], p[k, best]
-                owners.clear()
-
-            for at, value in enumerate(batch.column(batch.num_columns - 1)):
-                counts = gram_counts(value.as_py() or "") if own is not None else None
-                if counts is not None:
-                    block[len(owners)] = counts
-                    owners.append(at)
-                if len(owners) == BLOCK_ROWS:
-                    judge()
-            if owners:
+        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        block, owners = np.zeros((BLOCK_ROWS, SIZE), dtype=np.float32), []
+
+        def judge() -> None:
+            p = own.probabilities(own.logits(block[: len(owners)]).astype(float))
+            for k, best in enumerate(p.argmax(axis=1)):
+                names[owners[k]], scores[owners[k]] = own.languages[best], p[k, best]
+            owners.clear()
+
+        for at, value in enumerate(texts):
+            counts = gram_counts(value.as_py() or "") if own is not None else None
+            if counts is not None:
+                block[len(owners)] = counts
+                owners.append(at)
+            if len(owners) == BLOCK_ROWS:
                 judge()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, type=pa.string()), pa.array(scores)],
-                                             names=[*kept, "lang_pred", "score"])
+        if owners:
+            judge()
+        return pa.StructArray.from_arrays([pa.array(names, type=pa.string()), pa.array(scores)], ["lang_pred", "score"])
 
-    schema = rows.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(run, schema)
+    # the text alone goes to Python, and only the judgement comes back: whole rows would lie in several buffers each
+    judged = F.arrow_udf(run, "struct<lang_pred:string,score:double>")(docs[text])
+    return docs.select(*[docs[c] for c in kept], judged.alias("_op_judged")).select(*kept, "_op_judged.lang_pred", "_op_judged.score")

@@ -57,3 +57,16 @@ def test_nothing_to_learn_from(spark):
     assert lid.train(docs) is None
     assert {(r.lang_pred, r.score) for r in lid.predict(docs, None).collect()} == {("und", 0.0)}
     assert lid.predict(docs.limit(0), None).count() == 0
+
+
+def test_texts_go_to_python_once(spark):
+    """Neither the other columns nor a second copy of the text are sent, and one judgement serves several conditions."""
+    docs = spark.createDataFrame([(k, "der die das und", "de", {"k": "v"}) for k in range(50)], "doc_id long, text string, lang string, more map<string,string>")
+    model = lid.Model(["de", "en"], np.ones(lid.SIZE, dtype=np.float32), np.zeros((lid.SIZE, 2), dtype=np.float32))
+    judged = lid.predict(docs, model)
+    assert judged.columns == [*docs.columns, "lang_pred", "score"]
+    assert {(r.text, r.lang_pred, r.score, r.more["k"]) for r in judged.collect()} == {("der die das und", "de", 0.5, "v")}
+    chosen = judged.where((F.col("lang_pred") != lid.UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("ArrowEvalPython [run(") == 1 and plan.count("run(") == 1, plan
+    assert chosen.count() == 50
