@@ -156,3 +156,40 @@ def test_written_scan_has_documents(spark, source, tmp_path):
     for name in ("report", "summary", "sarif"):
         assert set(read(spark, tmp_path / "out" / name)) == {"one", "two"}
     assert "hunter2hunter2" not in read(spark, tmp_path / "out/report")["one"]
+
+
+def test_frames_meet_their_pieces_and_lines_come_in_blocks(spark, tmp_path, monkeypatch):
+    rows = [finding("r", f"f{n % 40:02}.py:{n}", confidence=50 + n % 3, evidence=f"line {n}\n  next", title=f"T{n % 5}", root_cause_id=f"RC-{n % 5}")
+            for n in range(1, 1200)]
+    # the same value in another column is another frame
+    rows += [finding("r", "x.py:1", source="v", sink=None), finding("r", "x.py:2", source=None, sink="v")]
+    found = table(spark, rows).repartition(5)
+    roots = correlate.root_causes(found)
+
+    def written(name, **more):
+        documents.write_documents(documents.report_pieces(found, roots), str(tmp_path / name), 400, **more)
+        return read(spark, tmp_path / name)
+
+    plain = written("plain")
+    blocks = sorted(reports.report_blocks(found).collect(), key=lambda r: (-r.confidence_score, r.file_path, r.start_line))
+    leads = plain["r"].split("## Candidate review leads\n\n")[1].split("## Review points\n")[0]
+    assert leads == "".join(r.block + "\n" for r in blocks)
+    assert "`v` → `unknown`" in leads and "`unknown` → `v`" in leads
+    assert written("gzip", compression="gzip") == plain
+    assert {f.name[-3:] for f in (tmp_path / "gzip/repo=r").glob("part-*")} == {".gz"}
+    assert sum(r.bytes for r in documents.offsets(spark, str(tmp_path / "gzip")).collect()) < len(plain["r"]) / 3
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        for name in ("plain", "gzip"):
+            got = documents.read_documents(spark, str(tmp_path / name))
+            assert max(r.lines for r in got.select("lines").collect()) <= 1000 < got.count() * 1000 / 4
+            lines = documents.numbered_lines(got).orderBy("line_no").collect()
+            assert [r.line for r in lines] == plain["r"][:-1].split("\n") and [r.line_no for r in lines] == list(range(1, len(lines) + 1))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # frames that are many or long travel with their pieces
+    monkeypatch.setattr(documents, "MOST_FRAMES", 3)
+    assert written("many") == plain
+    monkeypatch.undo()
+    monkeypatch.setattr(documents, "MOST_FRAME_BYTES", 100)
+    assert written("long") == plain
