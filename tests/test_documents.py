@@ -193,3 +193,25 @@ def test_frames_meet_their_pieces_and_lines_come_in_blocks(spark, tmp_path, monk
     monkeypatch.undo()
     monkeypatch.setattr(documents, "MOST_FRAME_BYTES", 100)
     assert written("long") == plain
+
+
+def test_sarif_results_do_not_meet_by_repository(spark, tmp_path, monkeypatch):
+    rows = [finding("a", f"f{n % 9}.py:{n}", data_flow=[None, "x"] if n % 2 else ["x", None], title=f"T{n % 3}") for n in range(1, 300)]
+    found = table(spark, [*rows, finding("b", 'q".py:1')]).repartition(4)
+
+    def written(name):
+        documents.write_documents(documents.sarif_pieces(found, "t", "2"), str(tmp_path / name), compression="gzip")
+        return read(spark, tmp_path / name)
+
+    plain = written("plain")
+    records = {repo: [r.value for r in reports.sarif_records(found).filter(F.col("repo") == repo).orderBy("emit_seq").collect()] for repo in plain}
+    log = {repo: json.loads(text) for repo, text in plain.items()}
+    assert {repo: len(x["runs"][0]["results"]) for repo, x in log.items()} == {"a": 299, "b": 1}
+    for repo, text in plain.items():
+        assert text.split("\n")[1:-2] == ["," * (i > 0) + value for i, value in enumerate(records[repo])]
+    # nothing but the first result of each repository is dealt out by its name
+    plan = documents.sarif_pieces(found, "t", "2")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    # very many repositories meet by their names
+    monkeypatch.setattr(reports, "MOST_REPOS", 1)
+    assert written("many") == plain
